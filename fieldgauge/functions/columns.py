@@ -96,7 +96,7 @@ def bin_right_closed(value: Column | str, edges: Sequence[float],
     """Label of the interval (low, high] holding the value; NULL outside all of them."""
     value = _col(value)
     out = F.lit(None).cast("string")
-    for low, high, label in reversed(list(zip(edges, edges[1:], labels, strict=True))):
+    for low, high, label in reversed(list(zip(edges[:-1], edges[1:], labels, strict=True))):
         out = F.when((value > low) & (value <= high), label).otherwise(out)
     return out
 

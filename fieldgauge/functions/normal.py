@@ -6,14 +6,14 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _upper(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail(x: pd.Series) -> pd.Series:
     """P(Z > x) for a standard normal Z."""
     return x.map(_upper, na_action="ignore")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators.metrics import classification_metrics, roc_auc
-from fieldgauge.operators.ordered import SPLIT_ROWS, row_position
+from fieldgauge.operators.ordered import SPLIT_ROWS, broadcast_if_small, row_position
 
 # Settings of the reports' models.
 SEED = 42
@@ -78,7 +78,8 @@ def stratified_split(df: DataFrame, key: str, stratum: str, *, test_share: float
         return hashed.withColumn("is_test", F.col("__share") < test_share).drop("__share")
     ranked = row_position(hashed, [stratum], ["__share", key], out="__rank",
                           split_rows=split_rows)
-    sizes = df.groupBy(F.col(stratum).alias("__stratum")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = broadcast_if_small(
+        df.groupBy(F.col(stratum).alias("__stratum")).agg(F.count(F.lit(1)).alias("__n")))
     same = F.col(stratum).eqNullSafe(F.col("__stratum"))
     return (ranked.join(sizes, same, "left")
             .withColumn("is_test", F.col("__rank") <= F.round(F.col("__n") * test_share))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fieldgauge.session import shared_dir
 
 SPLIT_ROWS = 5_000_000
+BROADCAST_ROWS = 1_000_000
 BLOCK_ROWS = 1_000_000
 _CHUNK, _HOME, _POSITION = "__chunk", "__home", "__position"
 
@@ -25,6 +26,16 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Fix an aggregate's rows, count them, and mark it for broadcast when they are few.
+
+    Left to itself, an adaptive join learns the size only after it has shuffled the large side.
+    """
+    shared_dir(df.sparkSession)
+    fixed = df.checkpoint()
+    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+
+
 def _range_chunks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows spread evenly over ordered chunks, whose numbers no retry can change."""
     shared_dir(df.sparkSession)
@@ -108,15 +119,13 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def with_group_max(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
-    """Add the group maximum to every row.
+    """Add the group maximum to every row; NULL where a key is NULL.
 
-    An aggregate joined back: the aggregate combines before its shuffle, and the join is a
-    broadcast when few groups exist or a skew-split merge join otherwise.
+    An aggregate joined back: it combines before its shuffle, so a hot group costs nothing,
+    and with few groups the rows themselves are not shuffled at all.
     """
     top = df.groupBy(*keys).agg(F.max(column).alias(out))
-    renamed = top.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out)
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    return df.join(renamed, same, "inner").select(*df.columns, out)
+    return (df.join(broadcast_if_small(top), list(keys), "left").select(*df.columns, out))
 
 
 def last_n_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -25,9 +25,7 @@ def _jsonable(df: DataFrame, column: str) -> Column:
     kind = dict(df.dtypes)[column]
     plain = ("string", "boolean", "double", "float", "int", "bigint", "smallint", "tinyint")
     value = F.col(column)
-    if kind.startswith("decimal"):
-        value = value.cast("double")
-    elif kind not in plain and not kind.startswith(("array", "struct", "map")):
+    if kind not in plain and not kind.startswith(("decimal", "array", "struct", "map")):
         value = value.cast("string")
     return value.alias(column)
 

@@ -113,7 +113,7 @@ def buffer_stream(readings: DataFrame, key: str, order: Sequence[str], *,
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = readings.columns
-    arrow = to_arrow_schema(readings.schema, timezone="UTC")
+    arrow = to_arrow_schema(readings.schema)
     out = T.StructType([*readings.schema.fields, T.StructField("part", T.IntegerType())])
     salted = readings.withColumn(
         "part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
