@@ -90,10 +90,10 @@ def distinct_readings(readings: DataFrame, keys: Sequence[str], *, ts: str = "ts
 
 # --- keyed state ---------------------------------------------------------
 
-def _pack(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
-    table = pa.Table.from_pandas(rows, schema=schema, preserve_index=False)
+def _pack(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, schema) as writer:
+    with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -110,10 +110,7 @@ def buffer_stream(readings: DataFrame, key: str, order: Sequence[str], *,
     one is handled by several tasks; every part holds at most ``n`` rows. ``read_buffer``
     merges the parts.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     columns = readings.columns
-    arrow = to_arrow_schema(readings.schema)
     out = T.StructType([*readings.schema.fields, T.StructField("part", T.IntegerType())])
     salted = readings.withColumn(
         "part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
@@ -125,7 +122,7 @@ def buffer_stream(readings: DataFrame, key: str, order: Sequence[str], *,
             fresh = frame[columns]
             held = fresh if held is None else pd.concat([held, fresh], ignore_index=True)
             held = held.sort_values(list(order), kind="stable").tail(n)
-        state.update((_pack(held, arrow),))
+        state.update((_pack(held),))
         yield held.assign(part=group[1])
 
     return salted.groupBy(key, "part").applyInPandasWithState(
