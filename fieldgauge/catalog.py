@@ -250,8 +250,7 @@ def last_n_buffer(spark, d):
 
 @query
 def sensor_unpivot(spark, d):
-    one = b.engine_series(spark, d).filter(F.col("unit") == 1)
-    return ft.melt(one, ["cycle"], ["s_1", "s_2"])
+    return ft.melt(b.engine_series(spark, d), ["unit", "cycle"], ["s_1", "s_2"])
 
 
 def _regression_pairs(spark, d):
@@ -451,7 +450,8 @@ def retention_economics(spark, d):
 def _forecast(spark, d):
     """A model, its training rows and the held-out units cut off at 60% of their life."""
     series = b.engine_series(spark, d)
-    table = forecast.training_table(series, SENSORS, unit="unit", cycle="cycle", cap=CAP)
+    table = forecast.training_table(series, SENSORS, unit="unit", cycle="cycle",
+                                    cap=CAP).checkpoint()
     model, validation = forecast.train_baseline(table, SENSORS, unit="unit", **BOOSTED)
     train, held_out = models.split_by_unit(series, "unit")
     lives = ordered.with_group_max(held_out, ["unit"], "cycle", "life")
@@ -484,8 +484,7 @@ def rul_scores(spark, d):
 @query
 def rul_trajectory(spark, d):
     model, table, *_ = _forecast(spark, d)
-    return models.predict(model, table.filter(F.col("unit") == 1)).select(
-        "cycle", "RUL", "predicted_RUL")
+    return models.predict(model, table).select("unit", "cycle", "RUL", "predicted_RUL")
 
 
 @query
@@ -659,4 +658,4 @@ def report_bundle(spark, d):
         "payment_breakdown": writers.records(
             m.rounded(m.payment_breakdown(b.payments(spark, d), UNDEFINED_PAYMENT)),
             ["payment_type"])}
-    return writers.report_document("marketplace", sections)
+    return writers.report_document(spark, "marketplace", sections)

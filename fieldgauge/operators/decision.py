@@ -57,21 +57,30 @@ def points_at_or_below(prob: Column, grid: tuple[float, float, int]) -> Column:
 
 
 def threshold_counts(df: DataFrame, label: str, prob: str, grid: tuple[float, float, int],
-                     *, by: Sequence[str] = (), value: str | None = None) -> DataFrame:
+                     *, by: Sequence[str] = (), value: str | None = None,
+                     also: Sequence[float] = ()) -> DataFrame:
     """Confusion counts at every threshold, deciding yes when ``prob >= threshold``.
 
-    With ``value``, also the summed value of the positives that the threshold misses.
+    ``also`` adds single thresholds to the grid in the same pass. With ``value``, the summed
+    value of all positives and of those that a threshold misses are given too.
     """
     by = list(by)
-    n = grid[2]
+    even = fx.linspace(*grid)
+    extra = [float(t) for t in also if t not in even]
+    points = sorted(even + extra)
+    n = len(points)
+    p = _clean_probability(prob)
+    bucket = points_at_or_below(p, grid)
+    for t in extra:
+        bucket = bucket + F.coalesce(p >= t, F.lit(False)).cast("int")
     positive = (F.col(label) == 1).cast("long")
     measures = {"n": F.count(F.lit(1)), "pos": F.sum(F.coalesce(positive, F.lit(0)))}
     if value is not None:
         measures["val"] = F.coalesce(F.sum(F.when(F.col(label) == 1, F.col(value))), F.lit(0))
-    buckets = (df.withColumn("bucket", points_at_or_below(_clean_probability(prob), grid))
-               .groupBy(*by, "bucket").agg(*[c.alias(k) for k, c in measures.items()]))
+    buckets = (df.withColumn("bucket", bucket).groupBy(*by, "bucket")
+               .agg(*[c.alias(k) for k, c in measures.items()]))
 
-    # At most one row per grid point and group from here on.
+    # At most one row per threshold and group from here on.
     whole = Window.partitionBy(*by)
     downward = Window.partitionBy(*by).orderBy(F.col("bucket").desc())
     upto = downward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,19 +93,18 @@ def threshold_counts(df: DataFrame, label: str, prob: str, grid: tuple[float, fl
     # A bucket serves the thresholds between itself and the next one above; the lowest also
     # serves those below it, where every row is a yes.
     first = F.when(F.col("lowest"), F.lit(1)).otherwise(F.col("bucket") + 1)
-    points = F.when(first <= F.col("next_bucket"), F.sequence(first, F.col("next_bucket")))
-    rows = runs.withColumn("point", F.explode(points))
-    for k in measures:
-        rows = rows.withColumn(f"{k}_yes", F.when(
-            F.col("point") > F.col("bucket"), F.col(f"{k}_above")).otherwise(F.col(f"{k}_all")))
-    out = rows.select(
-        *by, F.get(fx.double_array(fx.linspace(*grid)), F.col("point") - 1).alias("threshold"),
-        F.col("pos_yes").alias("tp"),
-        (F.col("n_yes") - F.col("pos_yes")).alias("fp"),
-        (F.col("pos_all") - F.col("pos_yes")).alias("fn"),
-        (F.col("n_all") - F.col("n_yes") - F.col("pos_all") + F.col("pos_yes")).alias("tn"),
-        *([(F.col("val_all") - F.col("val_yes")).alias("missed_value")] if value else []))
-    return out
+    served = F.when(first <= F.col("next_bucket"), F.sequence(first, F.col("next_bucket")))
+    rows = runs.withColumn("point", F.explode(served))
+    above = F.col("point") > F.col("bucket")
+    yes = {k: F.when(above, F.col(f"{k}_above")).otherwise(F.col(f"{k}_all")) for k in measures}
+    return rows.select(
+        *by, F.get(fx.double_array(points), F.col("point") - 1).alias("threshold"),
+        yes["pos"].alias("tp"),
+        (yes["n"] - yes["pos"]).alias("fp"),
+        (F.col("pos_all") - yes["pos"]).alias("fn"),
+        (F.col("n_all") - yes["n"] - F.col("pos_all") + yes["pos"]).alias("tn"),
+        *([(F.col("val_all") - yes["val"]).alias("missed_value"),
+           F.col("val_all").alias("value_at_stake")] if value else []))
 
 
 def counts_at(df: DataFrame, label: str, prob: str, threshold: float, *,
@@ -139,52 +147,52 @@ def optimal_threshold(costed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return best.select(*by, "best.*")
 
 
-def _policies(reactive: DataFrame, default: DataFrame, optimal: DataFrame,
-              by: Sequence[str], names: Sequence[str]) -> DataFrame:
-    columns = [*by, "threshold", "fn", "fp", "total_cost"]
-    parts = [part.select(F.lit(i).alias("rank"), F.lit(name).alias("strategy"), *columns)
-             for i, (part, name) in enumerate(
-                 zip((reactive, default, optimal), names, strict=True), start=1)]
-    table = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    whole = Window.partitionBy(*by)  # three rows per group
-    def cost_of(rank):
-        return F.max(F.when(F.col("rank") == rank, F.col("total_cost"))).over(whole)
-    return (table.withColumn("savings_vs_none", cost_of(1) - F.col("total_cost"))
-            .withColumn("savings_vs_default", cost_of(2) - F.col("total_cost")))
+POLICY_NAMES = ("Run-To-Failure (Reactive)", "Standard Model", "Cost-Optimized Model")
+RETENTION_NAMES = ("No Program", "Standard Threshold", "Optimized Threshold")
 
 
-POLICY_NAMES = ("Run-To-Failure (Reactive)", "Standard Model", "Cost-Optimized Model")
+def _policies(costed: DataFrame, cost_of_none: Column, names: Sequence[str],
+              grid: tuple[float, float, int], by: Sequence[str]) -> DataFrame:
+    """Three rows per group out of a costed sweep: no model, 0.50 and the cheapest threshold."""
+    columns = ("threshold", "fn", "fp", "total_cost")
+    row = F.struct(*columns)
+    default = F.col("threshold") == DEFAULT_THRESHOLD
+    on_grid = F.lit(True) if DEFAULT_THRESHOLD in fx.linspace(*grid) else ~default
+    cost_type = dict(costed.dtypes)["total_cost"]
+    none = F.struct(F.lit(None).cast("double").alias("threshold"),
+                    (F.col("tp") + F.col("fn")).alias("fn"),
+                    F.lit(0).cast("long").alias("fp"),
+                    cost_of_none.cast(cost_type).alias("total_cost"))
+    picked = costed.groupBy(*by).agg(
+        F.max(F.when(default, none)).alias("none"),
+        F.max(F.when(default, row)).alias("default"),
+        F.min_by(F.when(on_grid, row),
+                 F.when(on_grid, F.struct("total_cost", "threshold"))).alias("best"))
+    table = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("strategy"),
+                               *[F.col(f"{part}.{c}").alias(c) for c in columns])
+                      for i, (part, name) in enumerate(
+                          zip(("none", "default", "best"), names, strict=True), start=1)])
+    return picked.select(*by, "none", "default", F.explode(table).alias("p")).select(
+        *by, "p.*",
+        (F.col("none.total_cost") - F.col("p.total_cost")).alias("savings_vs_none"),
+        (F.col("default.total_cost") - F.col("p.total_cost")).alias("savings_vs_default"))
 
 
 def maintenance_policies(df: DataFrame, label: str, prob: str, *, by: Sequence[str] = (),
                          grid: tuple[float, float, int] = MAINTENANCE_GRID,
                          costs: FlatCosts = FlatCosts()) -> DataFrame:
-    """Run to failure, the 0.50 cut-off and the cheapest cut-off side by side."""
-    default = with_flat_cost(counts_at(df, label, prob, DEFAULT_THRESHOLD, by=by), costs)
-    failures = F.col("tp") + F.col("fn")
-    reactive = default.select(
-        *by, F.lit(None).cast("double").alias("threshold"), failures.alias("fn"),
-        F.lit(0).cast("long").alias("fp"),
-        (failures * costs.false_negative).alias("total_cost"))
-    optimal = optimal_threshold(
-        with_flat_cost(threshold_counts(df, label, prob, grid, by=by), costs), by)
-    return _policies(reactive, default, optimal, by, POLICY_NAMES)
-
-
-RETENTION_NAMES = ("No Program", "Standard Threshold", "Optimized Threshold")
+    """Run to failure, the 0.50 cut-off and the cheapest cut-off side by side, in one pass."""
+    costed = with_flat_cost(threshold_counts(df, label, prob, grid, by=by,
+                                             also=[DEFAULT_THRESHOLD]), costs)
+    failures = (F.col("tp") + F.col("fn")) * costs.false_negative
+    return _policies(costed, failures, POLICY_NAMES, grid, by)
 
 
 def retention_policies(df: DataFrame, label: str, prob: str, value: str, *,
                        by: Sequence[str] = (), grid: tuple[float, float, int] = RETENTION_GRID,
                        offer_cost: float = OFFER_COST) -> DataFrame:
     """No offers, the 0.50 cut-off and the cheapest cut-off, each customer at their own value."""
-    default = with_value_cost(
-        counts_at(df, label, prob, DEFAULT_THRESHOLD, by=by, value=value), offer_cost)
-    lost = F.when(F.col(label) == 1, F.col(value))
-    none = df.groupBy(*by).agg(
-        F.lit(None).cast("double").alias("threshold"),
-        F.count_if(F.col(label) == 1).alias("fn"), F.lit(0).cast("long").alias("fp"),
-        F.coalesce(F.sum(lost), F.lit(0)).alias("total_cost"))
-    optimal = optimal_threshold(with_value_cost(
-        threshold_counts(df, label, prob, grid, by=by, value=value), offer_cost), by)
-    return _policies(none, default, optimal, by, RETENTION_NAMES)
+    counts = threshold_counts(df, label, prob, grid, by=by, value=value,
+                              also=[DEFAULT_THRESHOLD])
+    return _policies(with_value_cost(counts, offer_cost), F.col("value_at_stake"),
+                     RETENTION_NAMES, grid, by)

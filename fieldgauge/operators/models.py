@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators.metrics import classification_metrics, roc_auc
 from fieldgauge.operators.ordered import SPLIT_ROWS, broadcast_if_small, row_position
+from fieldgauge.session import shared_dir
 
 # Settings of the reports' models.
 SEED = 42
@@ -167,7 +168,10 @@ def compare_classifiers(df: DataFrame, key: str, label: str, features: Sequence[
 
     Returns the held-out scores, one row per model and subject, and the forest's importances.
     """
-    split = stratified_split(df, key, label, seed=seed)
+    # Fixed once: every fit and score below reads it, and a lost executor costs no recomputing.
+    shared_dir(df.sparkSession)
+    split = stratified_split(df.select(key, label, *keep, *features), key, label,
+                             seed=seed).checkpoint()
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     scaling = scaling_of(train, features)
     scaled = [f"{c}_std" for c in features]
@@ -185,7 +189,8 @@ def compare_classifiers(df: DataFrame, key: str, label: str, features: Sequence[
         .select(F.lit(LOGISTIC).alias("model"), *columns, "prob"),
         positive_probability(forest, _assemble(test, features))
         .select(F.lit(FOREST).alias("model"), *columns, "prob")]
-    return parts[0].unionByName(parts[1]), importance_table(df, forest, features)
+    return (parts[0].unionByName(parts[1]).checkpoint(),
+            importance_table(df, forest, features))
 
 
 def model_metrics(scores: DataFrame, label: str, prob: str = "prob") -> DataFrame:

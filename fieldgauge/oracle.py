@@ -348,9 +348,9 @@ SQL["last_n_buffer"] = _last_readings + "20"
 SQL["stream_buffer"] = _last_readings + "20"
 SQL["latest_reading"] = _last_readings + "1"
 SQL["sensor_unpivot"] = f"""
-WITH {SERIES}, one AS (SELECT * FROM series WHERE unit = 1)
-SELECT cycle, 's_1' AS variable, {dbl('s_1')} AS value FROM one
-UNION ALL SELECT cycle, 's_2', {dbl('s_2')} FROM one"""
+WITH {SERIES}
+SELECT unit, cycle, 's_1' AS variable, {dbl('s_1')} AS value FROM series
+UNION ALL SELECT unit, cycle, 's_2', {dbl('s_2')} FROM series"""
 
 PAIRS = f"""
 pairs AS (SELECT unit, cycle, {dbl(LIFE)} AS life, {rolling('s_1')} / 4 + 5 AS pred FROM series)"""
@@ -412,6 +412,7 @@ _missed = "coalesce(sum(at_stake) FILTER (prob < threshold AND label = 1), 0)"
 SQL["threshold_sweep_value"] = f"""
 WITH {SCORED}, {points(decision.RETENTION_GRID)}
 SELECT threshold, {COUNTS}, {dbl(_missed)} AS missed_value,
+       {dbl('coalesce(sum(at_stake) FILTER (label = 1), 0)')} AS value_at_stake,
        {dbl(f'count(*) FILTER (prob >= threshold) * 100 + {_missed}')} AS total_cost
 FROM scored, points GROUP BY threshold"""
 SQL["optimal_threshold"] = f"""

@@ -122,11 +122,11 @@ def category_risk(orders: DataFrame, items: DataFrame, products: DataFrame,
                   delivered: str = DELIVERED) -> DataFrame:
     """Top categories by revenue, with late share and mean review score."""
     as_joined = _check(mode)
+    # Names are looked up on the product side, so that items are joined only once.
+    named_products = products.join(translations, "category_name", "left").select(
+        "product_id", fx.first_known("category_english", "category_name").alias("category"))
     named = (items.select("order_id", "product_id", "price")
-             .join(products, "product_id")
-             .join(translations, "category_name", "left")
-             .select("order_id", "price",
-                     fx.first_known("category_english", "category_name").alias("category")))
+             .join(named_products, "product_id").drop("product_id"))
     placed = delivered_only(orders, delivered).select(
         "order_id", fx.late_flag("delivered", "estimated").alias("late"))
     rows = with_reviews(placed, reviews).join(named, "order_id")

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def write_scores(df: DataFrame, path: str, columns: Sequence[str], *, fmt: str = "parquet",
@@ -42,23 +41,21 @@ def records(df: DataFrame, order: Sequence[str] = (), name: str = "records") ->
     return entries.agg(F.transform(gathered, lambda e: e["row"]).alias(name))
 
 
-def report_document(report: str, sections: Mapping[str, DataFrame]) -> DataFrame:
+def report_document(spark: SparkSession, report: str,
+                    sections: Mapping[str, DataFrame]) -> DataFrame:
     """One JSON text for a report: a single-row section per entry, keyed by report name.
 
     Each section must already be one row (an aggregate, or the output of ``records``); a
     section with one column keeps only its value.
     """
-    parts = []
+    values = []
     for name, df in sections.items():
-        if len(df.columns) == 1:
-            value = F.col(df.columns[0])
-        else:
-            value = F.struct(*[_jsonable(df, c) for c in df.columns])
-        parts.append(df.agg(F.first(value).alias(name)))
-    whole = reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # one row each
-    return whole.select(F.lit(report).alias("report"),
-                        F.to_json(F.struct(*sections),
-                                  {"ignoreNullFields": "false"}).alias("document"))
+        if len(df.columns) > 1:
+            df = df.select(F.struct(*[_jsonable(df, c) for c in df.columns]))
+        values.append(df.scalar().alias(name))
+    return spark.range(1).select(
+        F.lit(report).alias("report"),
+        F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_report(document: DataFrame, path: str) -> None:

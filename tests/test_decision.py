@@ -73,6 +73,22 @@ def test_cheapest_threshold_is_the_lowest_on_ties(spark):
     assert row["threshold"] == min(t for t in POINTS if t > 0.2)
 
 
+def test_single_thresholds_join_the_grid(spark, rows):
+    more = [0.5, 0.123, POINTS[7]]
+    df = frame(spark, rows)
+    assert got(dc.threshold_counts(df, "y", "p", GRID, value="v", also=more)) == brute(
+        rows, sorted({*POINTS, *more}))
+
+
+def test_the_default_is_no_candidate_for_the_best(spark):
+    # 0.50 alone separates these; it is not on the grid, so the best grid point costs more.
+    df = frame(spark, [(0, 0.4999, 1), (1, 0.5, 1)])
+    table = {r["rank"]: r for r in dc.maintenance_policies(df, "y", "p").collect()}
+    assert table[2]["total_cost"] == 1500 and table[3]["total_cost"] == 1800
+    assert dc.optimal_threshold(dc.with_flat_cost(
+        dc.threshold_counts(df, "y", "p", GRID))).first()["total_cost"] == 1800
+
+
 def test_policies(spark):
     df = frame(spark, [(1, 0.9, 120), (1, 0.4, 240), (0, 0.6, 360), (0, 0.1, 480)])
     flat = {r["rank"]: r for r in dc.maintenance_policies(df, "y", "p").collect()}

@@ -65,7 +65,7 @@ def test_report_document(spark):
                                  "name string, v double, ok boolean")
     total = rows.agg(F.sum("v").cast("decimal(18,2)").alias("total"),
                      F.to_date(F.lit("2020-01-02")).alias("day"))
-    doc = writers.report_document("demo", {
+    doc = writers.report_document(spark, "demo", {
         "total": total, "rows": writers.records(rows, ["name"])})
     path = scratch_path(spark, "report")
     writers.write_report(doc, path)
