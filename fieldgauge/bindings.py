@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators.ordered import row_position
 
 # Fixed values of the bindings; the oracle SQL states the same ones.
 MONEY = "decimal(18,2)"
+CENTS = 100
 DELIVERED = "F"
 ESTIMATE_DAYS = 1000
 CHURN_DAYS = 180
@@ -18,6 +19,11 @@ SERVICES = {"svc_urgent": "1-URGENT", "svc_high": "2-HIGH", "svc_medium": "3-MED
             "svc_unspecified": "4-NOT SPECIFIED", "svc_low": "5-LOW"}
 
 
+def cents(amount: str) -> Column:
+    """An amount with two decimals as a whole number of cents."""
+    return F.rint(F.col(amount) * 100).cast("long")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,8 +54,7 @@ def orders_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_quantity").cast(MONEY).alias("freight"))
+        cents("l_extendedprice").alias("price"), cents("l_quantity").alias("freight"))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("installments")))
     return (table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
             .select(F.col("o_orderpriority").alias("payment_type"), "installments",
-                    F.col("o_totalprice").cast(MONEY).alias("payment_value")))
+                    cents("o_totalprice").alias("payment_value")))
 
 
 # --- experiment ----------------------------------------------------------
@@ -111,19 +116,17 @@ def device_readings(events: DataFrame) -> DataFrame:
     """Events as sensor readings; works on a batch and on a stream."""
     return events.select(
         "event_id", "ts", F.col("user_id").alias("device"),
-        (F.lit(100).cast(MONEY) - F.col("value").cast(MONEY) / 4).cast("decimal(18,4)")
-        .alias("health"),
+        (100 - F.col("value") / 4).alias("health"),
         (F.col("event_id") % 23 + 40).cast("int").alias("torque"),
-        (F.lit(298).cast("decimal(9,1)") + ((F.col("event_id") % 43).cast("decimal(9,1)") / 10)
-         .cast("decimal(9,1)")).cast("decimal(9,1)").alias("temperature"))
+        (298 + (F.col("event_id") % 43) / 10).alias("temperature"))
 
 
 def engine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("unit"), "ts", "event_id",
-        F.col("value").cast(MONEY).alias("s_1"),
-        (F.col("event_id") % 23 + 40).cast(MONEY).alias("s_2"),
-        (F.col("event_id") % 43).cast(MONEY).alias("s_3"))
+        F.col("value").alias("s_1"),
+        (F.col("event_id") % 23 + 40).cast("double").alias("s_2"),
+        (F.col("event_id") % 43).cast("double").alias("s_3"))
 
 
 def engine_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,15 +162,16 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = placed.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         (F.max(month) - F.min(month)).alias("tenure"),
         F.max("o_orderdate").alias("last_order"),
-        F.sum(F.col("o_totalprice").cast(MONEY)).alias("total"),
+        F.sum(cents("o_totalprice")).alias("total_cents"),
         *[F.when(F.max((F.col("o_orderpriority") == text).cast("int")) == 1, "Yes")
           .otherwise("No").alias(name) for name, text in SERVICES.items()])
     lapsed = F.col("last_order") < newest - F.expr(f"INTERVAL {CHURN_DAYS} DAY")
     return (table(spark, sf_dir, "customer").join(history, "c_custkey").select(
         F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("contract"),
         "tenure", *SERVICES,
-        (F.col("total").cast("double") / F.greatest("tenure", F.lit(1))).alias("monthly"),
-        F.when(F.col("tenure") == 0, "  ")
-        .otherwise(F.concat(F.lit(" "), F.col("total").cast("string"))).alias("total_text"),
+        (F.col("total_cents") / CENTS / F.greatest("tenure", F.lit(1))).alias("monthly"),
+        F.when(F.col("tenure") == 0, "  ").otherwise(F.concat(
+            F.lit(" "), (F.col("total_cents").cast("decimal(20,0)") / CENTS).cast(MONEY)
+            .cast("string"))).alias("total_text"),
         F.when(lapsed, "Yes").otherwise("No").alias("churn"))
         .withColumn("num_services", fx.count_yes(list(SERVICES))))

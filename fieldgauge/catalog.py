@@ -70,21 +70,24 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 # --- marketplace ---------------------------------------------------------
 
+MARKET = {"delivered": b.DELIVERED, "minor_units": b.CENTS}
+
+
 @query
 def kpis(spark, d):
     return m.kpis(b.orders_only(spark, d), b.items(spark, d), b.reviews(spark, d),
-                  delivered=b.DELIVERED)
+                  **MARKET)
 
 
 @query
 def kpis_dedup(spark, d):
     return m.kpis(b.orders_only(spark, d), b.items(spark, d), b.reviews(spark, d), "dedup",
-                  delivered=b.DELIVERED)
+                  **MARKET)
 
 
 @query
 def monthly_revenue(spark, d):
-    return m.monthly_revenue(b.orders_only(spark, d), b.items(spark, d), delivered=b.DELIVERED)
+    return m.monthly_revenue(b.orders_only(spark, d), b.items(spark, d), **MARKET)
 
 
 @query
@@ -100,7 +103,7 @@ def late_rate_trend(spark, d):
 def _category_risk(spark, d, mode):
     return m.category_risk(b.orders(spark, d), b.items(spark, d), b.products(spark, d),
                            b.translations(spark), b.reviews(spark, d), mode=mode,
-                           min_orders=MIN_CATEGORY, delivered=b.DELIVERED)
+                           min_orders=MIN_CATEGORY, **MARKET)
 
 
 @query
@@ -116,7 +119,7 @@ def category_risk_dedup(spark, d):
 def _state_performance(spark, d, mode):
     return m.state_performance(b.orders(spark, d), b.items(spark, d), b.customers(spark, d),
                                b.reviews(spark, d), mode=mode, min_orders=MIN_STATE,
-                               delivered=b.DELIVERED)
+                               **MARKET)
 
 
 @query
@@ -131,13 +134,13 @@ def state_performance_dedup(spark, d):
 
 @query
 def payment_breakdown(spark, d):
-    return m.payment_breakdown(b.payments(spark, d), UNDEFINED_PAYMENT)
+    return m.payment_breakdown(b.payments(spark, d), UNDEFINED_PAYMENT, minor_units=b.CENTS)
 
 
 @query
 def revenue_late_trend(spark, d):
     return m.revenue_late_trend(b.orders(spark, d), b.items(spark, d), MIN_MONTH,
-                                delivered=b.DELIVERED)
+                                **MARKET)
 
 
 @query
@@ -234,7 +237,9 @@ def rul_labels(spark, d):
 
 @query
 def rolling_features(spark, d):
-    return ft.rolling_features(b.engine_series(spark, d), SENSORS, unit="unit", cycle="cycle")
+    featured = ft.rolling_features(b.engine_series(spark, d), SENSORS, unit="unit",
+                                   cycle="cycle")
+    return rounded(featured, 9, *[f"{s}_roll_mean" for s in SENSORS])
 
 
 @query
@@ -625,7 +630,7 @@ def csv_scan(spark, d):
 def whitespace_scan(spark, d):
     path = scratch_path(spark, "text")
     b.engine_rows(spark, d).select(F.format_string(
-        " %d   %d %s  %s  ", "unit", "event_id", F.col("s_1").cast("string"),
+        " %d   %d %s  %s  ", "unit", "event_id", F.col("s_1").cast(b.MONEY).cast("string"),
         F.col("s_2").cast("string"))).write.text(path)
     rows = readers.load_whitespace(spark, path, {"unit": "long", "event_id": "long",
                                                  "s_1": b.MONEY, "s_2": b.MONEY})
@@ -648,14 +653,14 @@ def report_text(spark, d):
 def report_bundle(spark, d):
     """The marketplace reports as one JSON document, figures rounded as printed."""
     orders, items, reviews = b.orders(spark, d), b.items(spark, d), b.reviews(spark, d)
-    done = {"delivered": b.DELIVERED}
     sections = {
-        "kpis": m.rounded(m.kpis(orders, items, reviews, **done)),
+        "kpis": m.rounded(m.kpis(orders, items, reviews, **MARKET)),
         "monthly_revenue": writers.records(
-            m.rounded(m.monthly_revenue(orders, items, **done)), ["month"]),
+            m.rounded(m.monthly_revenue(orders, items, **MARKET)), ["month"]),
         "delivery_vs_reviews": writers.records(
-            m.rounded(m.delivery_vs_reviews(orders, reviews, **done)), ["delivery_status"]),
+            m.rounded(m.delivery_vs_reviews(orders, reviews, delivered=b.DELIVERED)), ["delivery_status"]),
         "payment_breakdown": writers.records(
-            m.rounded(m.payment_breakdown(b.payments(spark, d), UNDEFINED_PAYMENT)),
+            m.rounded(m.payment_breakdown(b.payments(spark, d), UNDEFINED_PAYMENT,
+                                          minor_units=b.CENTS)),
             ["payment_type"])}
     return writers.report_document(spark, "marketplace", sections)

@@ -312,15 +312,14 @@ FROM clean GROUP BY experiment, day"""
 SERIES = """
 series AS (
   SELECT user_id AS unit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle,
-         CAST(value AS DECIMAL(18,2)) AS s_1, CAST(event_id % 23 + 40 AS DECIMAL(18,2)) AS s_2,
-         CAST(event_id % 43 AS DECIMAL(18,2)) AS s_3
+         value AS s_1, CAST(event_id % 23 + 40 AS DOUBLE) AS s_2,
+         CAST(event_id % 43 AS DOUBLE) AS s_3
   FROM events)"""
 READING = """
 reading AS (
   SELECT event_id, ts, user_id AS device,
-         CAST(100 - CAST(value AS DECIMAL(18,2)) * 0.25 AS DECIMAL(18,4)) AS health,
-         event_id % 23 + 40 AS torque,
-         CAST(298 + (event_id % 43) * 0.1 AS DECIMAL(9,1)) AS temperature
+         100 - value / 4 AS health, event_id % 23 + 40 AS torque,
+         298 + (event_id % 43) / 10.0::DOUBLE AS temperature
   FROM events)"""
 LIFE = "least(max(cycle) OVER (PARTITION BY unit) - cycle, 50)"
 
@@ -333,7 +332,7 @@ def rolling(column: str) -> str:
 SQL["rul_labels"] = f"WITH {SERIES} SELECT unit, cycle, {LIFE} AS \"RUL\" FROM series"
 SQL["rolling_features"] = f"""
 WITH {SERIES}
-SELECT unit, cycle, {', '.join(f'{dbl(s)} AS {s}, {rolling(s)} AS {s}_roll_mean'
+SELECT unit, cycle, {', '.join(f'{dbl(s)} AS {s}, round({rolling(s)}, 9) AS {s}_roll_mean'
                                for s in ('s_1', 's_2', 's_3'))} FROM series"""
 SQL["last_observation"] = f"""
 WITH {SERIES}
@@ -586,7 +585,7 @@ SELECT p_type, count(*) AS parts, count(DISTINCT p_brand) AS brands,
 FROM part GROUP BY p_type"""
 SQL["whitespace_scan"] = f"""
 WITH {SERIES}
-SELECT unit, count(*) AS n, {dbl('sum(s_1)')} AS s_1, {dbl('max(s_2)')} AS s_2
+SELECT unit, count(*) AS n, {dbl('sum(CAST(s_1 AS DECIMAL(18,2)))')} AS s_1, max(s_2) AS s_2
 FROM series GROUP BY unit"""
 SQL["report_text"] = f"""
 SELECT o_orderkey, {dbl('round(CAST(o_totalprice AS DECIMAL(18,2)), 1)')} AS half_up,

@@ -7,6 +7,9 @@ plan ever holds the items x reviews rows.
 
 ``mode='as_joined'`` keeps the join's repeated counting; ``mode='dedup'`` counts every item
 and every review once.
+
+Amounts may be decimals, or whole numbers of a minor unit (cents), which sum several times
+faster; ``minor_units`` then says how many make one. Sums stay exact either way.
 """
 
 from __future__ import annotations
@@ -64,24 +67,37 @@ def with_reviews(rows: DataFrame, reviews: DataFrame) -> DataFrame:
         "review_sum": F.coalesce(F.col("review_sum"), F.lit(0))})
 
 
-def _quotient(part: Column, whole: Column) -> Column:
-    return fx.ratio(F.sum(part), F.sum(whole))
+def _times(total: str, repeats: str | None) -> Column:
+    """A per-order total counted repeatedly; wide, since a huge order may be paired with itself."""
+    wide = F.col(total).cast("decimal(38,2)")
+    return wide if repeats is None else wide * F.col(repeats).cast("decimal(20,0)")
+
+
+def _quotient(part: Column, whole: Column, unit: int = 1) -> Column:
+    total = F.sum(part).cast("double")
+    return F.try_divide(total / unit if unit != 1 else total, F.sum(whole).cast("double"))
 
 
-def _order_measures(as_joined: bool) -> dict[str, Column]:
+def _money(amount: Column, minor_units: int) -> Column:
+    total = F.sum(amount.cast("decimal(38,2)"))
+    return (total / minor_units if minor_units != 1 else total).cast("decimal(38,2)")
+
+
+def _order_measures(as_joined: bool, minor_units: int) -> dict[str, Column]:
     """Revenue, item value and review score from rows that hold per-order totals."""
-    weight = F.col("weight") if as_joined else F.lit(1)
-    repeat = F.col("item_rows") if as_joined else F.lit(1)
+    weight, repeat = ("weight", "item_rows") if as_joined else (None, None)
     return {
-        "revenue": F.sum(F.col("amount_sum") * weight).cast("decimal(38,2)"),
-        "item_value": _quotient(F.col("amount_sum") * weight, F.col("amount_n") * weight),
-        "score": _quotient(F.col("review_sum") * repeat, F.col("review_n") * repeat)}
+        "revenue": _money(_times("amount_sum", weight), minor_units),
+        "item_value": _quotient(_times("amount_sum", weight), _times("amount_n", weight),
+                                minor_units),
+        "score": _quotient(_times("review_sum", repeat), _times("review_n", repeat))}
 
 
 def kpis(orders: DataFrame, items: DataFrame, reviews: DataFrame,
-         mode: str = "as_joined", *, delivered: str = DELIVERED) -> DataFrame:
+         mode: str = "as_joined", *, delivered: str = DELIVERED,
+         minor_units: int = 1) -> DataFrame:
     """Delivered orders, revenue, mean item value and mean review score."""
-    m = _order_measures(_check(mode))
+    m = _order_measures(_check(mode), minor_units)
     rows = delivered_only(orders, delivered).select("order_id").join(item_totals(items), "order_id")
     return with_reviews(rows, reviews).agg(
         F.count_distinct("order_id").alias("total_orders"),
@@ -91,11 +107,11 @@ def kpis(orders: DataFrame, items: DataFrame, reviews: DataFrame,
 
 
 def monthly_revenue(orders: DataFrame, items: DataFrame, *,
-                    delivered: str = DELIVERED) -> DataFrame:
+                    delivered: str = DELIVERED, minor_units: int = 1) -> DataFrame:
     rows = (delivered_only(orders, delivered).select("order_id", fx.month_key("purchased").alias("month"))
             .join(item_totals(items), "order_id"))
     return rows.groupBy("month").agg(
-        F.sum("amount_sum").cast("decimal(38,2)").alias("revenue"),
+        _money(F.col("amount_sum"), minor_units).alias("revenue"),
         F.count_distinct("order_id").alias("orders")).orderBy("month")
 
 
@@ -119,7 +135,7 @@ def late_rate_trend(orders: DataFrame, *, delivered: str = DELIVERED) -> DataFra
 def category_risk(orders: DataFrame, items: DataFrame, products: DataFrame,
                   translations: DataFrame, reviews: DataFrame, *, mode: str = "as_joined",
                   min_orders: int = MIN_CATEGORY_ORDERS, top: int = TOP_CATEGORIES,
-                  delivered: str = DELIVERED) -> DataFrame:
+                  delivered: str = DELIVERED, minor_units: int = 1) -> DataFrame:
     """Top categories by revenue, with late share and mean review score."""
     as_joined = _check(mode)
     # Names are looked up on the product side, so that items are joined only once.
@@ -130,20 +146,19 @@ def category_risk(orders: DataFrame, items: DataFrame, products: DataFrame,
     placed = delivered_only(orders, delivered).select(
         "order_id", fx.late_flag("delivered", "estimated").alias("late"))
     rows = with_reviews(placed, reviews).join(named, "order_id")
-    weight = F.col("weight") if as_joined else F.lit(1)
-    # Grouped by order first: rows already lie together by order, and orders then count once.
-    per_order = rows.groupBy("order_id", "category").agg(
-        F.sum(F.col("price") * weight).alias("price"),
-        *([F.sum(weight).alias("rows"), F.sum(F.col("late") * weight).alias("late"),
-           F.sum("review_sum").alias("review_sum"), F.sum("review_n").alias("review_n")]
-          if as_joined else
-          [F.lit(1).alias("rows"), F.max("late").alias("late"),
-           F.max("review_sum").alias("review_sum"), F.max("review_n").alias("review_n")]))
+    # Rows already lie together by order: they are summed per order without another shuffle.
+    per_order = rows.groupBy("order_id", "category", "late", "weight", "review_n",
+                             "review_sum").agg(
+        F.count(F.lit(1)).alias("item_rows"), F.sum("price").alias("amount_sum"))
+    weight, repeat = ("weight", "item_rows") if as_joined else (None, None)
+    joined_rows = _times("item_rows", "weight") if as_joined else F.lit(1)
     report = per_order.groupBy("category").agg(
-        F.sum("price").cast("decimal(38,2)").alias("revenue"),
-        F.count(F.lit(1)).alias("order_count"),
-        fx.share_percent(F.sum("late"), F.sum("rows")).alias("late_pct"),
-        _quotient(F.col("review_sum"), F.col("review_n")).alias("avg_review_score"))
+        _money(_times("amount_sum", weight), minor_units).alias("revenue"),
+        F.count_distinct("order_id").alias("order_count"),
+        fx.share_percent(F.sum(F.when(F.col("late") == 1, joined_rows).otherwise(0)),
+                         F.sum(joined_rows)).alias("late_pct"),
+        _quotient(_times("review_sum", repeat), _times("review_n", repeat))
+        .alias("avg_review_score"))
     return (min_volume(report, "order_count", min_orders)
             .orderBy(F.desc("revenue"), "category").limit(top))
 
@@ -151,16 +166,16 @@ def category_risk(orders: DataFrame, items: DataFrame, products: DataFrame,
 def state_performance(orders: DataFrame, items: DataFrame, customers: DataFrame,
                       reviews: DataFrame, *, mode: str = "as_joined",
                       min_orders: int = MIN_STATE_ORDERS,
-                      delivered: str = DELIVERED) -> DataFrame:
+                      delivered: str = DELIVERED, minor_units: int = 1) -> DataFrame:
     """Revenue, delivery days and review score by customer state, with a risk tag."""
     as_joined = _check(mode)
-    m = _order_measures(as_joined)
+    m = _order_measures(as_joined, minor_units)
     placed = (delivered_only(orders, delivered).filter(F.col("delivered").isNotNull())
               .select("order_id", "customer_id",
                       fx.days_between("purchased", "delivered").alias("days"))
               .join(customers, "customer_id"))
     rows = with_reviews(placed.join(item_totals(items), "order_id"), reviews)
-    joined_rows = F.col("item_rows") * F.col("weight") if as_joined else F.lit(1)
+    joined_rows = _times("item_rows", "weight") if as_joined else F.lit(1)
     report = rows.groupBy("state").agg(
         m["revenue"].alias("revenue"),
         F.count_distinct("order_id").alias("order_count"),
@@ -171,21 +186,22 @@ def state_performance(orders: DataFrame, items: DataFrame, customers: DataFrame,
             .orderBy(F.desc("revenue"), "state"))
 
 
-def payment_breakdown(payments: DataFrame, undefined: str = UNDEFINED_PAYMENT) -> DataFrame:
+def payment_breakdown(payments: DataFrame, undefined: str = UNDEFINED_PAYMENT, *,
+                      minor_units: int = 1) -> DataFrame:
     """Payments by type; a missing type is left out like the undefined one."""
     return payments.filter(F.col("payment_type") != undefined).groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("payments"),
         fx.ratio(F.sum("installments"), F.count("installments")).alias("avg_installments"),
-        F.sum("payment_value").cast("decimal(38,2)").alias("total_value")).orderBy(
+        _money(F.col("payment_value"), minor_units).alias("total_value")).orderBy(
         F.desc("total_value"), "payment_type")
 
 
 def revenue_late_trend(orders: DataFrame, items: DataFrame,
                        min_orders: int = MIN_MONTH_ORDERS, *,
-                       delivered: str = DELIVERED) -> DataFrame:
+                       delivered: str = DELIVERED, minor_units: int = 1) -> DataFrame:
     """Monthly revenue beside the late rate, without low-volume months."""
-    revenue = min_volume(monthly_revenue(orders, items, delivered=delivered),
-                         "orders", min_orders)
+    revenue = min_volume(monthly_revenue(orders, items, delivered=delivered,
+                                         minor_units=minor_units), "orders", min_orders)
     return revenue.join(late_rate_trend(orders, delivered=delivered), "month", "left").orderBy("month")
 
 
