@@ -3,7 +3,7 @@
 Reviews are 0..n and items 1..n per order, and the reports join both before they aggregate.
 Sums over that join follow from per-order totals: an item counts once per review row of its
 order, and a review once per item. So each side is summed per order before any join, and no
-plan ever holds the items x reviews rows.
+plan ever holds the items x reviews rows. Orders hold one row per order.
 
 ``mode='as_joined'`` keeps the join's repeated counting; ``mode='dedup'`` counts every item
 and every review once.
@@ -67,30 +67,31 @@ def with_reviews(rows: DataFrame, reviews: DataFrame) -> DataFrame:
         "review_sum": F.coalesce(F.col("review_sum"), F.lit(0))})
 
 
-def _times(total: str, repeats: str | None) -> Column:
-    """A per-order total counted repeatedly; wide, since a huge order may be paired with itself."""
-    wide = F.col(total).cast("decimal(38,2)")
-    return wide if repeats is None else wide * F.col(repeats).cast("decimal(20,0)")
+def _repeated(total: str, repeats: str | None) -> Column:
+    """A per-order count or score sum, counted repeatedly.
 
+    As double: exact to 2**53, and past that a ratio of two of them still is to 15 digits,
+    while a whole-number product would overflow for a huge order paired with itself.
+    """
+    value = F.col(total).cast("double")
+    return F.sum(value if repeats is None else value * F.col(repeats).cast("double"))
 
-def _quotient(part: Column, whole: Column, unit: int = 1) -> Column:
-    total = F.sum(part).cast("double")
-    return F.try_divide(total / unit if unit != 1 else total, F.sum(whole).cast("double"))
 
-
-def _money(amount: Column, minor_units: int) -> Column:
-    total = F.sum(amount.cast("decimal(38,2)"))
+def _money(amount: str, repeats: str | None, minor_units: int) -> Column:
+    """An exact total of amounts."""
+    wide = F.col(amount).cast("decimal(38,2)")
+    total = F.sum(wide if repeats is None else wide * F.col(repeats).cast("decimal(20,0)"))
     return (total / minor_units if minor_units != 1 else total).cast("decimal(38,2)")
 
 
 def _order_measures(as_joined: bool, minor_units: int) -> dict[str, Column]:
     """Revenue, item value and review score from rows that hold per-order totals."""
     weight, repeat = ("weight", "item_rows") if as_joined else (None, None)
+    revenue = _money("amount_sum", weight, minor_units)
     return {
-        "revenue": _money(_times("amount_sum", weight), minor_units),
-        "item_value": _quotient(_times("amount_sum", weight), _times("amount_n", weight),
-                                minor_units),
-        "score": _quotient(_times("review_sum", repeat), _times("review_n", repeat))}
+        "revenue": revenue,
+        "item_value": fx.ratio(revenue, _repeated("amount_n", weight)),
+        "score": fx.ratio(_repeated("review_sum", repeat), _repeated("review_n", repeat))}
 
 
 def kpis(orders: DataFrame, items: DataFrame, reviews: DataFrame,
@@ -111,7 +112,7 @@ def monthly_revenue(orders: DataFrame, items: DataFrame, *,
     rows = (delivered_only(orders, delivered).select("order_id", fx.month_key("purchased").alias("month"))
             .join(item_totals(items), "order_id"))
     return rows.groupBy("month").agg(
-        _money(F.col("amount_sum"), minor_units).alias("revenue"),
+        _money("amount_sum", None, minor_units).alias("revenue"),
         F.count_distinct("order_id").alias("orders")).orderBy("month")
 
 
@@ -121,7 +122,7 @@ def delivery_vs_reviews(orders: DataFrame, reviews: DataFrame, *,
     rows = delivered_only(orders, delivered).select(
         "order_id", fx.delivery_status("delivered", "estimated").alias("delivery_status"))
     return with_reviews(rows, reviews).groupBy("delivery_status").agg(
-        _quotient(F.col("review_sum"), F.col("review_n")).alias("avg_review_score"),
+        fx.ratio(F.sum("review_sum"), F.sum("review_n")).alias("avg_review_score"),
         F.count_distinct("order_id").alias("order_count")).orderBy(
         F.desc_nulls_last("avg_review_score"), "delivery_status")
 
@@ -146,18 +147,17 @@ def category_risk(orders: DataFrame, items: DataFrame, products: DataFrame,
     placed = delivered_only(orders, delivered).select(
         "order_id", fx.late_flag("delivered", "estimated").alias("late"))
     rows = with_reviews(placed, reviews).join(named, "order_id")
-    # Rows already lie together by order: they are summed per order without another shuffle.
-    per_order = rows.groupBy("order_id", "category", "late", "weight", "review_n",
-                             "review_sum").agg(
-        F.count(F.lit(1)).alias("item_rows"), F.sum("price").alias("amount_sum"))
+    # Rows already lie together by order, so this takes no shuffle; each order then counts once.
+    per_order = rows.groupBy("order_id", "category").agg(
+        F.count(F.lit(1)).alias("item_rows"), F.sum("price").alias("amount_sum"),
+        *[F.max(c).alias(c) for c in ("late", "weight", "review_n", "review_sum")])
     weight, repeat = ("weight", "item_rows") if as_joined else (None, None)
-    joined_rows = _times("item_rows", "weight") if as_joined else F.lit(1)
+    rows = F.col("item_rows").cast("double") * F.col("weight") if as_joined else F.lit(1)
     report = per_order.groupBy("category").agg(
-        _money(_times("amount_sum", weight), minor_units).alias("revenue"),
-        F.count_distinct("order_id").alias("order_count"),
-        fx.share_percent(F.sum(F.when(F.col("late") == 1, joined_rows).otherwise(0)),
-                         F.sum(joined_rows)).alias("late_pct"),
-        _quotient(_times("review_sum", repeat), _times("review_n", repeat))
+        _money("amount_sum", weight, minor_units).alias("revenue"),
+        F.count(F.lit(1)).alias("order_count"),
+        fx.share_percent(F.sum(F.col("late") * rows), F.sum(rows)).alias("late_pct"),
+        fx.ratio(_repeated("review_sum", repeat), _repeated("review_n", repeat))
         .alias("avg_review_score"))
     return (min_volume(report, "order_count", min_orders)
             .orderBy(F.desc("revenue"), "category").limit(top))
@@ -175,11 +175,12 @@ def state_performance(orders: DataFrame, items: DataFrame, customers: DataFrame,
                       fx.days_between("purchased", "delivered").alias("days"))
               .join(customers, "customer_id"))
     rows = with_reviews(placed.join(item_totals(items), "order_id"), reviews)
-    joined_rows = _times("item_rows", "weight") if as_joined else F.lit(1)
+    joined_rows = F.col("item_rows").cast("double") * F.col("weight") if as_joined else F.lit(1)
     report = rows.groupBy("state").agg(
         m["revenue"].alias("revenue"),
         F.count_distinct("order_id").alias("order_count"),
-        _quotient(F.col("days") * joined_rows, joined_rows).alias("avg_delivery_days"),
+        fx.ratio(F.sum(F.col("days") * joined_rows), F.sum(joined_rows))
+        .alias("avg_delivery_days"),
         m["score"].alias("avg_review_score"))
     return (min_volume(report, "order_count", min_orders)
             .withColumn("risk_tag", fx.delivery_risk_tag("avg_delivery_days"))
@@ -192,7 +193,7 @@ def payment_breakdown(payments: DataFrame, undefined: str = UNDEFINED_PAYMENT, *
     return payments.filter(F.col("payment_type") != undefined).groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("payments"),
         fx.ratio(F.sum("installments"), F.count("installments")).alias("avg_installments"),
-        _money(F.col("payment_value"), minor_units).alias("total_value")).orderBy(
+        _money("payment_value", None, minor_units).alias("total_value")).orderBy(
         F.desc("total_value"), "payment_type")
 
 
