@@ -15,7 +15,7 @@ from fieldgauge import bindings as b
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators import decision, experiment as x, features as ft, metrics, models, \
     ordered, quality
-from fieldgauge.plans import churn, experiment as xp, forecast, marketplace as m
+from fieldgauge.plans import churn, documents, experiment as xp, forecast, marketplace as m
 from fieldgauge.session import prepare, scratch_path
 from fieldgauge.sources import readers, writers
 from fieldgauge.streaming import monitor, scoring
@@ -418,19 +418,43 @@ def stratified_split_exact(spark, d):
                                    exact=True).select("customer", "churned", "is_test")
 
 
+@query
+def standardised_features(spark, d):
+    scaled = models.standardise(b.subjects(spark, d), SUBJECT_NUMBERS)
+    names = [f"{c}_std" for c in SUBJECT_NUMBERS]
+    return rounded(scaled, 6, *names).select("customer", *names)
+
+
+@query
+def label_codes(spark, d):
+    coded = models.encode_labels(b.subjects(spark, d), ["contract", "svc_low"])
+    return coded.select("customer", "contract", "contract_code", "svc_low_code")
+
+
+@query
+def unit_split(spark, d):
+    train, held_out = models.split_by_unit(b.engine_rows(spark, d), "unit")
+    sides = (train.select("unit", F.lit("train").alias("side"))
+             .unionByName(held_out.select("unit", F.lit("held_out").alias("side"))))
+    return sides.groupBy("unit", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def segments_kmeans(spark, d):
     return churn.segments(_labelled_subjects(spark, d), "tenure", "num_services", "monthly",
                           "churned", restarts=3, max_iter=20)
 
 
+def _model_subjects(spark, d):
+    return (_labelled_subjects(spark, d)
+            .withColumn("total_charges", fx.blank_to_zero("total_text"))
+            .withColumn("at_stake", (F.col("monthly") * decision.MONTHS_AT_STAKE)
+                        .cast("decimal(20,2)")))
+
+
 def _comparison(spark, d):
-    subjects = (_labelled_subjects(spark, d)
-                .withColumn("total_charges", fx.blank_to_zero("total_text"))
-                .withColumn("at_stake", (F.col("monthly") * decision.MONTHS_AT_STAKE)
-                            .cast("decimal(20,2)")))
     return churn.model_comparison(
-        subjects, "customer", "churned", ["contract", *b.SERVICES],
+        _model_subjects(spark, d), "customer", "churned", ["contract", *b.SERVICES],
         [*SUBJECT_NUMBERS, "total_charges"], keep=["at_stake"], **FOREST)
 
 
@@ -650,17 +674,28 @@ def report_text(spark, d):
 
 
 @query
-def report_bundle(spark, d):
-    """The marketplace reports as one JSON document, figures rounded as printed."""
-    orders, items, reviews = b.orders(spark, d), b.items(spark, d), b.reviews(spark, d)
-    sections = {
-        "kpis": m.rounded(m.kpis(orders, items, reviews, **MARKET)),
-        "monthly_revenue": writers.records(
-            m.rounded(m.monthly_revenue(orders, items, **MARKET)), ["month"]),
-        "delivery_vs_reviews": writers.records(
-            m.rounded(m.delivery_vs_reviews(orders, reviews, delivered=b.DELIVERED)), ["delivery_status"]),
-        "payment_breakdown": writers.records(
-            m.rounded(m.payment_breakdown(b.payments(spark, d), UNDEFINED_PAYMENT,
-                                          minor_units=b.CENTS)),
-            ["payment_type"])}
-    return writers.report_document(spark, "marketplace", sections)
+def marketplace_document(spark, d):
+    """All marketplace reports as one JSON document."""
+    tables = {"orders": b.orders(spark, d), "order_items": b.items(spark, d),
+              "reviews": b.reviews(spark, d), "products": b.products(spark, d),
+              "category_translation": b.translations(spark), "customers": b.customers(spark, d),
+              "payments": b.payments(spark, d)}
+    return documents.marketplace_document(
+        spark, tables, min_category=MIN_CATEGORY, min_state=MIN_STATE,
+        undefined_payment=UNDEFINED_PAYMENT, **MARKET)
+
+
+@query
+def experiment_document(spark, d):
+    """The verdict on all visits as one JSON document."""
+    return documents.experiment_document(b.experiment(spark, d), DESIGN)
+
+
+@query
+def churn_document(spark, d):
+    """The churn reports as one JSON document."""
+    return documents.churn_document(
+        _model_subjects(spark, d), key="customer", contract="contract", charge="monthly",
+        blank_text="total_text", outcome="churn", categorical=["contract", *b.SERVICES],
+        numeric=[*SUBJECT_NUMBERS, "total_charges"],
+        segment_options={"restarts": 3, "max_iter": 20}, model_options=FOREST)

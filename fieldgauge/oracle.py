@@ -542,6 +542,19 @@ WITH {SUBJECT}
 SELECT customer, churned, row_number() OVER (PARTITION BY churned ORDER BY {_share}, customer)
          <= round(0.25 * count(*) OVER (PARTITION BY churned)) AS is_test FROM subject"""
 
+_std = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}_std"
+                 for c in ("tenure", "num_services", "monthly"))
+SQL["standardised_features"] = f"WITH {SUBJECT} SELECT customer, {_std} FROM subject"
+SQL["label_codes"] = f"""
+WITH {SUBJECT}
+SELECT customer, contract, {dbl('dense_rank() OVER (ORDER BY contract) - 1')} AS contract_code,
+       {dbl('dense_rank() OVER (ORDER BY svc_low) - 1')} AS svc_low_code
+FROM subject JOIN history ON customer = o_custkey"""
+SQL["unit_split"] = f"""
+SELECT user_id AS unit, CASE WHEN {_share.replace('customer', 'user_id')} < 0.25
+         THEN 'held_out' ELSE 'train' END AS side, count(*) AS n
+FROM events GROUP BY user_id"""
+
 # --- monitor --------------------------------------------------------------
 
 STATUS_RULE = """

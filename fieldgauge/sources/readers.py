@@ -93,3 +93,30 @@ def load_dimension(spark: SparkSession, path: str,
                    schema: str = MARKETPLACE_SCHEMAS["category_translation"]) -> DataFrame:
     """A small lookup table; a byte-order mark before the header is skipped."""
     return load_csv(spark, path, schema)
+
+
+# Input columns under the names the reports use.
+MARKETPLACE_NAMES = {
+    "orders": {"order_id": "order_id", "customer_id": "customer_id", "order_status": "status",
+               "order_purchase_timestamp": "purchased",
+               "order_delivered_customer_date": "delivered",
+               "order_estimated_delivery_date": "estimated"},
+    "order_items": {"order_id": "order_id", "product_id": "product_id", "price": "price",
+                    "freight_value": "freight"},
+    "payments": {"payment_type": "payment_type", "payment_installments": "installments",
+                 "payment_value": "payment_value"},
+    "reviews": {"order_id": "order_id", "review_score": "score"},
+    "customers": {"customer_id": "customer_id", "customer_state": "state"},
+    "products": {"product_id": "product_id", "product_category_name": "category_name"},
+    "category_translation": {"product_category_name": "category_name",
+                             "product_category_name_english": "category_english"},
+}
+
+
+def report_inputs(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The loaded tables with the columns the marketplace reports read, under their names."""
+    out = {}
+    for table, names in MARKETPLACE_NAMES.items():
+        loaded = require_columns(tables[table], list(names), table)
+        out[table] = loaded.select(*[F.col(c).alias(n) for c, n in names.items()])
+    return out

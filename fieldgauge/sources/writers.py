@@ -29,15 +29,16 @@ def _jsonable(df: DataFrame, column: str) -> Column:
     return value.alias(column)
 
 
-def records(df: DataFrame, order: Sequence[str] = (), name: str = "records") -> DataFrame:
+def records(df: DataFrame, order: Sequence[str | Column] = (),
+            name: str = "records") -> DataFrame:
     """All rows of a small report as one array, in a fixed order. One row comes back.
 
     Reports are aggregates with few rows; this is not meant for row-level tables.
     """
     row = F.struct(*[_jsonable(df, c) for c in df.columns])
-    key = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
+    key = F.struct(*order) if order else F.struct(F.lit(0))
     entries = df.select(F.struct(key.alias("key"), row.alias("row")).alias("e"))
-    gathered = F.array_sort(F.collect_list("e")) if order else F.collect_list("e")
+    gathered = F.array_sort(F.collect_list("e"))
     return entries.agg(F.transform(gathered, lambda e: e["row"]).alias(name))
 
 
