@@ -325,14 +325,16 @@ LIFE = "least(max(cycle) OVER (PARTITION BY unit) - cycle, 50)"
 
 
 def rolling(column: str) -> str:
-    w = "(PARTITION BY unit ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
-    return f"CAST(sum({column}) OVER {w} AS DOUBLE) / count(*) OVER {w}"
+    """Mean of the last five rows, added up oldest first."""
+    w = "OVER (PARTITION BY unit ORDER BY cycle)"
+    earlier = " + ".join(f"coalesce(lag({column}, {k}) {w}, 0)" for k in (4, 3, 2, 1))
+    return f"({earlier} + {column}) / least(cycle, 5)"
 
 
 SQL["rul_labels"] = f"WITH {SERIES} SELECT unit, cycle, {LIFE} AS \"RUL\" FROM series"
 SQL["rolling_features"] = f"""
 WITH {SERIES}
-SELECT unit, cycle, {', '.join(f'{dbl(s)} AS {s}, round({rolling(s)}, 9) AS {s}_roll_mean'
+SELECT unit, cycle, {', '.join(f'{dbl(s)} AS {s}, {rolling(s)} AS {s}_roll_mean'
                                for s in ('s_1', 's_2', 's_3'))} FROM series"""
 SQL["last_observation"] = f"""
 WITH {SERIES}

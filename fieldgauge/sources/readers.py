@@ -32,6 +32,7 @@ MARKETPLACE_SCHEMAS = {
     "category_translation": "product_category_name string, "
                             "product_category_name_english string",
 }
+FREE_TEXT_TABLES = ("reviews",)  # comments there may hold line breaks
 CHURN_SCHEMA = (
     "customerID string, gender string, SeniorCitizen int, Partner string, Dependents string, "
     "tenure int, PhoneService string, MultipleLines string, InternetService string, "
@@ -51,8 +52,12 @@ TURBOFAN_COLUMNS = {
 
 def load_csv(spark: SparkSession, path: str, schema: str | T.StructType, *,
              required: Sequence[str] = (), **options: str) -> DataFrame:
-    """A headed CSV. Columns are matched by position, and the header is checked against them."""
-    settings = {"multiLine": "true", "escape": '"', "enforceSchema": "false", **options}
+    """A headed CSV. Columns are matched by position, and the header is checked against them.
+
+    Pass ``multiLine="true"`` only for files with line breaks inside fields: such a file is
+    read by a single task.
+    """
+    settings = {"escape": '"', "enforceSchema": "false", **options}
     df = spark.read.options(header="true", **settings).schema(schema).csv(path)
     return require_columns(df, required, path)
 
@@ -62,7 +67,8 @@ def register_marketplace(spark: SparkSession, paths: Mapping[str, str],
     """Load the named marketplace tables and register each as a temporary view."""
     tables = {}
     for name, path in paths.items():
-        tables[name] = load_csv(spark, path, MARKETPLACE_SCHEMAS[name], **options)
+        breaks = {"multiLine": str(name in FREE_TEXT_TABLES).lower()}
+        tables[name] = load_csv(spark, path, MARKETPLACE_SCHEMAS[name], **{**breaks, **options})
         tables[name].createOrReplaceTempView(name)
     return tables
 
