@@ -622,6 +622,27 @@ def stream_buffer(spark, d):
         "device", "event_id", "health", "torque", "temperature")
 
 
+@query
+def equipment_board(spark, d):
+    folder = scratch_path(spark, "monitor")
+    for running in monitor.start_monitor(
+            _reading_stream(spark, d), folder, key="device", order=["ts", "event_id"],
+            spread="event_id", sensors=["temperature", "torque"]):
+        running.awaitTermination()
+    return monitor.board(spark, folder, "device").select(
+        "device", "event_id", "status", "steps", "tool_wear", "failures", "warnings")
+
+
+@query
+def buffer_append(spark, d):
+    """A day's readings added to the buffer of all earlier days."""
+    readings = b.readings(spark, d)
+    last_day = F.to_date("ts") >= F.lit("2024-01-30")
+    buffer = ordered.last_n_rows(readings.filter(~last_day), ["device"], ["ts", "event_id"])
+    return monitor.append_readings(buffer, readings.filter(last_day), "device",
+                                   ["ts", "event_id"]).select("device", "event_id")
+
+
 @query
 def stream_dedup(spark, d):
     path = scratch_path(spark, "dedup")

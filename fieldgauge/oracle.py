@@ -572,6 +572,17 @@ SELECT event_id, device, status,
             ELSE 'ALERT: Sensor anomaly detected! Air Temp: ' || temperature || '°K, Torque: '
                  || torque || 'Nm' END AS message
 FROM s WHERE status != 'NORMAL'"""
+SQL["equipment_board"] = f"""
+WITH {READING}, s AS (SELECT *, {STATUS_RULE} AS status FROM reading),
+total AS (SELECT device, count(*) AS steps, count(*) * 1.5::DOUBLE AS tool_wear,
+                 count(*) FILTER (status = 'FAILURE IMMINENT') AS failures,
+                 count(*) FILTER (status = 'WARNING') AS warnings FROM s GROUP BY device)
+SELECT device, event_id, status, steps, tool_wear, failures, warnings
+FROM s JOIN total USING (device)
+QUALIFY row_number() OVER (PARTITION BY device ORDER BY ts DESC, event_id DESC) = 1"""
+SQL["buffer_append"] = """
+SELECT user_id AS device, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20"""
 _stamp = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _closed = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 SQL["tumbling_trend"] = f"""

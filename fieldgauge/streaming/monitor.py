@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldgauge.functions import columns as fx
@@ -20,6 +21,7 @@ WATERMARK = "1 hour"
 BUFFER_ROWS = 20
 WEAR_PER_STEP = 1.5  # tool wear added by one step, in minutes
 BATCH = "batch_id"
+AVAILABLE_NOW = {"availableNow": True}
 
 
 def table_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str,
@@ -131,11 +133,11 @@ def buffer_stream(readings: DataFrame, key: str, order: Sequence[str], *,
 
 # --- sinks ---------------------------------------------------------------
 
-def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there and append it to a table."""
-    (stream.writeStream.outputMode("append").format("parquet")
-     .option("path", path).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
+def start_append(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append finished rows to a table; by default, process what is there and stop."""
+    return (stream.writeStream.outputMode("append").format("parquet")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or AVAILABLE_NOW)).start())
 
 
 def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -145,11 +147,19 @@ def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def start_update(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the changed rows of each batch; by default, process what is there and stop."""
+    return (stream.writeStream.outputMode("update").foreachBatch(versioned_sink(path))
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or AVAILABLE_NOW)).start())
+
+
+def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
+    start_append(stream, path, checkpoint).awaitTermination()
+
+
 def run_update(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there, writing the changed rows of each batch."""
-    (stream.writeStream.outputMode("update").foreachBatch(versioned_sink(path))
-     .option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
+    start_update(stream, path, checkpoint).awaitTermination()
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -166,6 +176,46 @@ def read_buffer(spark: SparkSession, path: str, key: str, order: Sequence[str],
     return last_n_rows(current.drop("part", BATCH), [key], order, n)
 
 
+def append_readings(buffer: DataFrame, fresh: DataFrame, key: str, order: Sequence[str],
+                    n: int = BUFFER_ROWS) -> DataFrame:
+    """A batch of new readings added to a buffer table, which keeps the last ``n`` per device."""
+    return last_n_rows(buffer.unionByName(fresh), [key], order, n)
+
+
 def closed_before(newest: Column, watermark: str = WATERMARK) -> Column:
     """The time up to which an append-mode window query has closed its windows."""
     return newest - F.expr(f"INTERVAL {watermark}")
+
+
+# --- the whole monitor -----------------------------------------------------
+
+def start_monitor(readings: DataFrame, folder: str, *, key: str, order: Sequence[str],
+                  spread: str, sensors: Sequence[str], length: str = "1 hour",
+                  limits: dict | None = None, **trigger) -> list[StreamingQuery]:
+    """Alerts, newest reading, step counter, last readings and sensor trends, side by side.
+
+    Each runs on its own and keeps its own checkpoint below ``folder``. Pass
+    ``processingTime="1 second"`` to keep them running.
+    """
+    def place(name: str) -> tuple[str, str]:
+        return f"{folder}/{name}", f"{folder}/checkpoints/{name}"
+    started = [
+        start_append(alerts(readings, **(limits or {})), *place("alerts"), **trigger),
+        start_update(latest_reading(readings, key, order), *place("latest"), **trigger),
+        start_update(step_counter(readings, key), *place("steps"), **trigger),
+        start_update(buffer_stream(readings, key, order, spread=spread), *place("buffer"),
+                     **trigger)]
+    started += [start_append(trend_stream(readings, sensor, [key], length=length),
+                             *place(f"trend_{sensor}"), **trigger) for sensor in sensors]
+    return started
+
+
+def board(spark: SparkSession, folder: str, key: str, **limits) -> DataFrame:
+    """The current state of every device, from the tables of a running monitor."""
+    newest = with_status(read_latest(spark, f"{folder}/latest", [key]), **limits)
+    steps = read_latest(spark, f"{folder}/steps", [key])
+    raised = spark.read.parquet(f"{folder}/alerts").groupBy(key).agg(
+        F.count_if(F.col("status") == fx.FAILURE_IMMINENT).alias("failures"),
+        F.count_if(F.col("status") == fx.WARNING).alias("warnings"))
+    return newest.join(steps, key).join(raised, key, "left").fillna(
+        0, ["failures", "warnings"])

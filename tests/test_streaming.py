@@ -115,6 +115,32 @@ def test_repeated_readings_are_dropped(spark, readings, folder):
     assert sorted(ids) == list(range(450))
 
 
+def test_whole_monitor(spark, readings, folder):
+    place = scratch_path(spark, "monitor")
+    for running in monitor.start_monitor(stream(spark, folder), place, key="device",
+                                         order=["ts", "event_id"], spread="event_id",
+                                         sensors=["torque"], length="2 hours"):
+        running.awaitTermination()
+    board = {r["device"]: r for r in monitor.board(spark, place, "device").collect()}
+    newest = {r["device"]: r for r in monitor.with_status(
+        monitor.latest_reading(readings, "device", ["ts", "event_id"])).collect()}
+    assert {d: (r["event_id"], r["status"]) for d, r in board.items()} == {
+        d: (r["event_id"], r["status"]) for d, r in newest.items()}
+    assert sum(r["steps"] for r in board.values()) == 900
+    assert sum(r["failures"] + r["warnings"] for r in board.values()) == (
+        monitor.alerts(readings).count())
+    assert monitor.read_buffer(spark, f"{place}/buffer", "device", ["ts", "event_id"]).count() \
+        == last_n_rows(readings, ["device"], ["ts", "event_id"]).count()
+    assert spark.read.parquet(f"{place}/trend_torque").count() > 0
+
+
+def test_appending_to_a_buffer_equals_one_cut(spark, readings):
+    order = ["ts", "event_id"]
+    old, new = readings.filter("event_id < 500"), readings.filter("event_id >= 500")
+    got = monitor.append_readings(last_n_rows(old, ["device"], order), new, "device", order)
+    assert rows_of(got) == rows_of(last_n_rows(readings, ["device"], order))
+
+
 # --- scoring ---------------------------------------------------------------
 
 @pytest.fixture(scope="module")
