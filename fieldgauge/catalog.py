@@ -540,6 +540,17 @@ def rul_score_stream(spark, d):
     return job.latest_answers(spark)
 
 
+@query
+def request_errors(spark, d):
+    """Scoring requests, some of them without a reading or a valid cycle, by what is wrong."""
+    requests = b.engine_rows(spark, d).select(
+        "unit", (F.col("event_id") % 40).alias("cycle"),
+        F.when(F.col("event_id") % 50 != 0, F.col("s_1")).alias("s_1"), "s_2", "s_3")
+    checked = requests.withColumn("error", scoring.request_error("unit", "cycle", SENSORS))
+    return checked.groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(
+        F.count(F.lit(1)).alias("requests"))
+
+
 @query
 def maintenance_roi(spark, d):
     model, _, _, observed, truth = _forecast(spark, d)

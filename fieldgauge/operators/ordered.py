@@ -1,14 +1,15 @@
 """Ordered per-entity operators that stay parallel when one entity holds most rows.
 
-A plain window puts all rows of an entity in one task. That is the right plan for normal
-groups, so it is used whenever the largest group is below ``split_rows``. Otherwise rows
-are range-partitioned by (entity, order), the chunk numbers are fixed by a checkpoint, and
-the windows run inside chunks with small carry-over tables between them.
+A plain window puts all rows of an entity in one task. That is the right plan for entities up
+to ``split_rows`` rows. The rows of larger ones are set apart and range-partitioned by (entity,
+order); their chunk numbers are fixed by a checkpoint, and the windows run inside chunks with
+small carry-over tables between them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,6 +37,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
 
 
+def split_off_hot(df: DataFrame, keys: Sequence[str],
+                  split_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of normal groups and those of groups above ``split_rows``; None for no rows.
+
+    There are at most (rows / split_rows) hot keys, so the two sides part without a shuffle.
+    """
+    if largest_group(df, keys) <= split_rows:
+        return df, None
+    if not keys:
+        return None, df
+    large = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+             .filter(F.col("__n") > split_rows))
+    hot = broadcast_if_small(large.select(*[F.col(k).alias(f"__k_{k}") for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
 def _range_chunks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows spread evenly over ordered chunks, whose numbers no retry can change."""
     shared_dir(df.sparkSession)
@@ -76,11 +94,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  out: str = "position", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Number the rows of every entity 1, 2, 3, … in the given order."""
-    split = largest_group(df, keys) > split_rows
-    if not split:
+    normal, hot = split_off_hot(df, keys, split_rows)
+    parts = []
+    if normal is not None:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    return running_totals(df, keys, order, {out: F.lit(1).cast("long")}, split=True)
+        parts.append(normal.withColumn(out, F.row_number().over(w).cast("long")))
+    if hot is not None:
+        parts.append(running_totals(hot, keys, order, {out: F.lit(1).cast("long")}, split=True))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _mean(column: str, window) -> Column:
@@ -97,25 +118,29 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     All columns share one window, hence one sort. An entity above ``split_rows`` is cut
     into blocks by row position; each block borrows the last rows of the block before it.
     """
+    if block_rows < rows:
+        raise ValueError("block_rows must be at least rows")
     keys = list(keys)
     frame = (-(rows - 1), Window.currentRow)
-    if largest_group(df, keys) <= split_rows:
+    names = [f"{c}{suffix}" for c in columns]
+    normal, hot = split_off_hot(df, keys, split_rows)
+    parts = []
+    if normal is not None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-        return df.withColumns({f"{c}{suffix}": _mean(c, w) for c in columns})
-
-    if block_rows < rows:
-        raise ValueError("block_rows must be at least rows")
-    located = running_totals(df, keys, order, {_POSITION: F.lit(1).cast("long")}, split=True)
-    home = F.floor((F.col(_POSITION) - 1) / block_rows)
-    ends_block = (F.col(_POSITION) - 1) % block_rows >= block_rows - (rows - 1)
-    blocks = (located.withColumn(_HOME, home)
-              .withColumn(_CHUNK, F.explode(
-                  F.when(ends_block, F.array(F.col(_HOME), F.col(_HOME) + 1))
-                  .otherwise(F.array(F.col(_HOME))))))
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(_POSITION).rowsBetween(*frame)
-    return (blocks.withColumns({f"{c}{suffix}": _mean(c, w) for c in columns})
-            .filter(F.col(_CHUNK) == F.col(_HOME))
-            .select(*df.columns, *[f"{c}{suffix}" for c in columns]))
+        parts.append(normal.withColumns({f"{c}{suffix}": _mean(c, w) for c in columns}))
+    if hot is not None:
+        located = running_totals(hot, keys, order, {_POSITION: F.lit(1).cast("long")},
+                                 split=True)
+        home = F.floor((F.col(_POSITION) - 1) / block_rows)
+        ends_block = (F.col(_POSITION) - 1) % block_rows >= block_rows - (rows - 1)
+        blocks = (located.withColumn(_HOME, home)
+                  .withColumn(_CHUNK, F.explode(
+                      F.when(ends_block, F.array(F.col(_HOME), F.col(_HOME) + 1))
+                      .otherwise(F.array(F.col(_HOME))))))
+        w = Window.partitionBy(*keys, _CHUNK).orderBy(_POSITION).rowsBetween(*frame)
+        parts.append(blocks.withColumns({f"{c}{suffix}": _mean(c, w) for c in columns})
+                     .filter(F.col(_CHUNK) == F.col(_HOME)).select(*df.columns, *names))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def with_group_max(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:

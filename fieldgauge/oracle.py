@@ -376,6 +376,12 @@ SELECT unit, life AS "RUL", round(pred, 9) AS "predicted_RUL",
        round(1 - least(greatest(pred / 50, 0), 1), 9) AS failure_probability,
        {big('life <= 20')} AS actual_failure_soon FROM last"""
 
+SQL["request_errors"] = """
+SELECT CASE WHEN event_id % 40 < 1 THEN 'cycle must be 1 or more'
+            WHEN event_id % 50 = 0 THEN 's_1 is missing' ELSE 'none' END AS error,
+       count(*) AS requests
+FROM events GROUP BY error"""
+
 # --- decisions ------------------------------------------------------------
 
 SCORED = """

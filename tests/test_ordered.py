@@ -29,7 +29,7 @@ def by_unit(rows):
     return out
 
 
-@pytest.mark.parametrize("split_rows", [10, 10 ** 6])
+@pytest.mark.parametrize("split_rows", [10, 200, 10 ** 6])
 def test_positions(spark, series, split_rows):
     got = ordered.row_position(series, ["unit"], ["t", "id"], split_rows=split_rows)
     want = {r["id"]: i for rs in by_unit(series.collect()).values()
@@ -37,10 +37,10 @@ def test_positions(spark, series, split_rows):
     assert {r["id"]: r["position"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("block_rows", [5, 7, 100])
-def test_trailing_mean_split_equals_plain(spark, series, block_rows):
+@pytest.mark.parametrize("split_rows,block_rows", [(10, 5), (10, 7), (200, 100)])
+def test_trailing_mean_split_equals_plain(spark, series, split_rows, block_rows):
     plain = ordered.trailing_mean(series, ["unit"], ["t", "id"], ["v"])
-    split = ordered.trailing_mean(series, ["unit"], ["t", "id"], ["v"], split_rows=10,
+    split = ordered.trailing_mean(series, ["unit"], ["t", "id"], ["v"], split_rows=split_rows,
                                   block_rows=block_rows)
     assert split.columns == plain.columns
     assert rows_of(split) == rows_of(plain)
@@ -55,6 +55,21 @@ def test_block_must_hold_the_window(series):
         ordered.trailing_mean(series, ["unit"], ["t", "id"], ["v"], split_rows=10, block_rows=4)
 
 
+def test_only_hot_entities_are_set_apart(spark, series):
+    normal, hot = ordered.split_off_hot(series, ["unit"], 200)
+    assert {r["unit"] for r in hot.select("unit").distinct().collect()} == {"hot"}
+    assert normal.count() + hot.count() == series.count()
+    assert normal.filter("unit IS NULL").count() == 30
+    normal, hot = ordered.split_off_hot(series, ["unit"], 10)
+    assert normal.count() == 0 and hot.filter("unit IS NULL").count() == 30
+
+
+def test_positions_without_keys(spark, series):
+    got = ordered.row_position(series, [], ["id"], split_rows=10).collect()
+    assert [r["position"] for r in sorted(got, key=lambda r: r["id"])] == list(
+        range(1, len(got) + 1))
+
+
 def test_running_totals_without_keys(spark, series):
     plain = ordered.running_totals(series, [], ["id"], {"total": F.col("v")}, split=False)
     split = ordered.running_totals(series, [], ["id"], {"total": F.col("v")}, split=True)
