@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,12 +21,32 @@ RUNTIME_CONF = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session, and send it this package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once per Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_fieldgauge_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="fieldgauge-package-")
+    archive = os.path.join(folder, "fieldgauge.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, folders, names in os.walk(package):
+            folders.sort()
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._fieldgauge_shipped = True
+
+
 def local_session(app: str, cores: str | int = "*", shuffle_partitions: int = 8,
                   **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
