@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldgauge.llm import domain_rules, mixing
-from fieldgauge.session import prepare
+from fieldgauge.llm import domain_rules, mixing, packing, wavelet, wordpiece
+from fieldgauge.session import prepare, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,3 +45,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of sources takes."""
     return mixing.balanced_copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@query
+def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read back from the wavelet-matrix shards."""
+    path = scratch_path(spark, "wavelet-shards")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path)
+    return wavelet.documents_of(wavelet.read_shards(spark, path))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match tokens of every document."""
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"))
