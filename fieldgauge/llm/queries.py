@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldgauge.llm import domain_rules, mixing, packing, wavelet, wordpiece
+from fieldgauge.llm import domain_rules, language, mixing, packing, quality, topk, toxicity, \
+    wavelet, wordpiece
+from fieldgauge.llm.common import in_fold
 from fieldgauge.session import prepare, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A document counts as of label 1 from this score on.
+DECISION = 0.3
+
+
+def _judged(docs: DataFrame, scorer, held_out) -> DataFrame:
+    scores = toxicity.scored(docs.select("doc_id", "text"), scorer)
+    return scores.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= DECISION).cast("int").alias("predicted"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from four folds of five."""
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 5, 0)
+    scorer = quality.quality_scorer(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(docs, scorer, held_out)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learnt from three folds of four."""
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 4, 2)
+    scorer = toxicity.toxicity_scorer(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(docs, scorer, held_out)
+
+
 @query
 def op4_domain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule figures and the target-domain verdict of every document."""
@@ -55,6 +83,40 @@ def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents_of(wavelet.read_shards(spark, path))
 
 
+@query
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer products of every 50th vector with the others."""
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return topk.top_products(vectors, F.col("id") % 50 == 0, 5).select(
+        F.col("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+_SQL["op6_top_products"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three folds of four."""
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 4, 2)
+    scorer = language.language_scorer(docs, ~held_out)
+    return language.languages_of(docs, scorer).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy longest-match tokens of every document."""
