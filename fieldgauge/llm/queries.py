@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldgauge.llm import domain_rules, language, mixing, packing, quality, topk, toxicity, \
-    wavelet, wordpiece
+from fieldgauge.llm import domain_rules, language, mixing, near_dedup, packing, quality, topk, \
+    toxicity, wavelet, wordpiece
 from fieldgauge.llm.common import in_fold
 from fieldgauge.session import prepare, scratch_path
 
@@ -62,6 +62,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(docs, scorer, held_out)
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_domain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule figures and the target-domain verdict of every document."""
