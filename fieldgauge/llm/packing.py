@@ -160,9 +160,10 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             else:
                 left = bins.left()
             rows = [_light(p, with_ids) for p in out] + [[*p[:5], None, None, p[7]] for p in left]
-            frame = pd.DataFrame(rows, columns=PIECES)
-            frame[["sequence_id", "offset"]] = frame[["sequence_id", "offset"]].astype("Int64")
-            return frame.assign(worker=int(key[0]))
+            # As objects: a column with gaps would become floats and lose digits of long ids.
+            frame = pd.DataFrame(rows, columns=PIECES, dtype=object)
+            places = dict.fromkeys(PIECES[1:5], "int64") | dict.fromkeys(PIECES[5:7], "Int64")
+            return frame.astype(places).assign(worker=int(key[0]))
         return run
 
     pieces = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -194,8 +194,9 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, seen: Column, label: str
     # The sample has at most 2 * bound rows of a few bytes.
     picked = F.broadcast(sampled(labels, label, bound, seen, id_col))
     rows = (
-        docs.join(picked, docs[id_col] == F.col("of"))
-        .select(F.col(text_col).alias("text"), F.col("label").cast("long").alias("label"),
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        .join(picked, F.col("id") == F.col("of"))
+        .select("text", F.col("label").cast("long").alias("label"),
                 F.xxhash64(F.lit("order"), "of").alias("draw"))
         .mapInArrow(pool, "x array<float>, label long, draw long").toArrow()
     )

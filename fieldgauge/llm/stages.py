@@ -39,9 +39,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     copies = mixing.balanced_copies(docs.where(F.col("doc_id").isNotNull())) \
         .groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("mix_copies"))
-    taken = docs.join(copies, docs["doc_id"] == copies["of"]).where("mix_copies > 0")
-    repeated = taken.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns]) \
+    # The row travels as one column, whatever its columns are called.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))
+    taken = rows.join(copies, F.col("key") == F.col("of")).where("mix_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
+                        .alias("turn")).select("row.*") \
         .unionByName(docs.where(F.col("doc_id").isNull()))
 
 
