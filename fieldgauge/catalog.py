@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgauge import bindings as b
@@ -26,9 +27,6 @@ MIN_MONTH, MIN_CATEGORY, MIN_STATE = 60, 2400, 150
 UNDEFINED_PAYMENT = "4-NOT SPECIFIED"
 SENSORS = ("s_1", "s_2", "s_3")
 SUBJECT_NUMBERS = ("tenure", "num_services", "monthly")
-# Lighter model settings than the library's defaults, since every query is run often.
-FOREST = {"trees": 20, "depth": 5, "max_iter": 100}
-BOOSTED = {"trees": 10, "depth": 4, "rate": 0.1}
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -63,6 +61,20 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
+def made_once(spark: SparkSession, d: str, name: str, build: Callable[[str], None]) -> str:
+    """The path that ``build`` wrote to, once per application and table folder: models are
+    trained by the first entry that needs them and loaded by the others."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _MADE:
+        path = scratch_path(spark, name)
+        build(path)
+        _MADE[key] = path
+    return _MADE[key]
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Figures that rest on sums of doubles, cut where the order of summing cannot show."""
     return df.withColumns({n: F.round(n, digits) for n in names})
@@ -440,7 +452,27 @@ def unit_split(spark, d):
 @query
 def segments_kmeans(spark, d):
     return churn.segments(_labelled_subjects(spark, d), "tenure", "num_services", "monthly",
-                          "churned", restarts=3, max_iter=20)
+                          "churned")
+
+
+@query
+def segment_certificate(spark, d):
+    """Customers clustered, and those that stand nearer to the mean of another cluster.
+
+    The means are taken anew from the assigned customers, not from the model.
+    """
+    numbers = ("tenure", "num_services", "monthly")
+    clustered = models.segment_customers(b.subjects(spark, d), numbers)
+    scaled = models.standardise(clustered, numbers).persist()
+    names = [f"{c}_std" for c in numbers]
+    means = scaled.groupBy("segment").agg(*[F.avg(n).alias(n) for n in names]).collect()
+
+    def distance(mean):
+        return sum((F.col(n) - F.lit(mean[n])) * (F.col(n) - F.lit(mean[n])) for n in names)
+    own = F.coalesce(*[F.when(F.col("segment") == m["segment"], distance(m)) for m in means])
+    nearest = F.least(*[distance(m) for m in means])
+    return scaled.agg(F.count(F.lit(1)).alias("customers"),
+                      F.count_if(own > nearest + 1e-6).alias("misplaced"))
 
 
 def _model_subjects(spark, d):
@@ -451,9 +483,39 @@ def _model_subjects(spark, d):
 
 
 def _comparison(spark, d):
-    return churn.model_comparison(
-        _model_subjects(spark, d), "customer", "churned", ["contract", *b.SERVICES],
-        [*SUBJECT_NUMBERS, "total_charges"], keep=["at_stake"], **FOREST)
+    """Held-out scores, metrics per model and top features of both classifiers."""
+    def build(path):
+        scores, _, top = churn.model_comparison(
+            _model_subjects(spark, d), "customer", "churned", ["contract", *b.SERVICES],
+            [*SUBJECT_NUMBERS, "total_charges"], keep=["at_stake"])
+        scores.write.parquet(f"{path}/scores")
+        top.write.parquet(f"{path}/top")
+
+    path = made_once(spark, d, "classifiers", build)
+    scores = spark.read.parquet(f"{path}/scores")
+    return (scores, models.model_metrics(scores, "churned"),
+            models.top_features(spark.read.parquet(f"{path}/top")))
+
+
+@query
+def model_split_counts(spark, d):
+    """Held-out customers scored by each model, by outcome."""
+    return _comparison(spark, d)[0].groupBy("model", "churned").agg(
+        F.count(F.lit(1)).alias("held_out"), F.count_distinct("customer").alias("customers"))
+
+
+@query
+def model_auc_agreement(spark, d):
+    """Rows ranked per model, and how far the rank-sum AUC is from MLlib's curve."""
+    scores = _comparison(spark, d)[0]
+    ranked = metrics.roc_auc(scores, "churned", "prob", ["model"])
+    curve = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="churned", numBins=0)
+    areas = [(name, curve.evaluate(scores.where(F.col("model") == name)))
+             for name in (models.LOGISTIC, models.FOREST)]
+    other = spark.createDataFrame(areas, "model string, area double")
+    return ranked.join(other, "model").select(
+        "model", (F.col("positives") + F.col("negatives")).alias("ranked"),
+        F.round(F.abs(F.col("auc") - F.col("area")), 6).alias("difference"))
 
 
 @query
@@ -475,11 +537,22 @@ def retention_economics(spark, d):
 # --- forecast ------------------------------------------------------------
 
 def _forecast(spark, d):
-    """A model, its training rows and the held-out units cut off at 60% of their life."""
+    """A stored model, its training rows and the held-out units cut off at 60% of their life."""
+    def train_and_save(path):
+        forecast.training_table(b.engine_series(spark, d), SENSORS, unit="unit", cycle="cycle",
+                                cap=CAP).write.parquet(f"{path}/rows")
+        fitted, _ = forecast.train_baseline(spark.read.parquet(f"{path}/rows"), SENSORS,
+                                            unit="unit")
+        regressor = fitted.stages[-1]
+        models.save_model(fitted, path, "1", ft.feature_columns(SENSORS), {
+            "trees": regressor.getMaxIter(), "depth": regressor.getMaxDepth(),
+            "rate": regressor.getStepSize()})
+
+    path = made_once(spark, d, "forecast", train_and_save)
+    model, _ = models.load_model(spark, path)
+    table = spark.read.parquet(f"{path}/rows")
+    _, validation = models.split_by_unit(table, "unit")
     series = b.engine_series(spark, d)
-    table = forecast.training_table(series, SENSORS, unit="unit", cycle="cycle",
-                                    cap=CAP).checkpoint()
-    model, validation = forecast.train_baseline(table, SENSORS, unit="unit", **BOOSTED)
     train, held_out = models.split_by_unit(series, "unit")
     lives = ordered.with_group_max(held_out, ["unit"], "cycle", "life")
     observed = lives.filter(F.col("cycle") <= F.ceil(F.col("life") * 0.6))
@@ -540,6 +613,53 @@ def rul_score_stream(spark, d):
     return job.latest_answers(spark)
 
 
+@query
+def forecast_model(spark, d):
+    """The stored model's card and size."""
+    _forecast(spark, d)
+    model, card = models.load_model(spark, _MADE[spark.sparkContext.applicationId, d, "forecast"])
+    regressor = model.stages[-1]
+    row = (card["version"], len(card["features"]), card["settings"]["depth"],
+           card["settings"]["rate"], regressor.getNumTrees,
+           round(float(sum(regressor.featureImportances.toArray())), 6))
+    return spark.createDataFrame([row], "version string, features long, depth long, "
+                                 "rate double, trees long, importance_total double")
+
+
+@query
+def forecast_answers(spark, d):
+    """Answers of the stored model on every cycle, and on every unit by batch and stream."""
+    cycles = rul_trajectory(spark, d).agg(
+        F.count("predicted_RUL").alias("cycles")).withColumn("k", F.lit(1))
+    batch = rul_score_batch(spark, d).select("unit", F.col("predicted_RUL").alias("one"))
+    stream = rul_score_stream(spark, d).select(F.col("unit").alias("of"),
+                                               F.col("predicted_RUL").alias("two"))
+    units = batch.join(stream, batch["unit"].eqNullSafe(stream["of"]), "full").agg(
+        F.count("one").alias("batch_units"), F.count("two").alias("stream_units"),
+        F.count_if(~F.col("one").eqNullSafe(F.col("two"))).alias("different"))
+    return cycles.join(units.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+@query
+def rolling_features_gaps(spark, d):
+    """Trailing means of a series with NaN and NULL readings, which are left out."""
+    gaps = b.engine_rows(spark, d).withColumn(
+        "s_1", F.when(F.col("event_id") % 11 == 0, F.lit(float("nan")))
+        .when(F.col("event_id") % 13 != 0, F.col("s_1")))
+    series = ordered.row_position(gaps, ["unit"], ["ts", "event_id"], out="cycle")
+    return rounded(ft.rolling_features(series, ["s_1"], unit="unit", cycle="cycle"), 6,
+                   "s_1_roll_mean").select("unit", "cycle", "s_1_roll_mean")
+
+
+@query
+def roc_auc_gaps(spark, d):
+    """AUC over scores with NaN, which rank lowest, and NULL, which are left out."""
+    gaps = b.classified(spark, d).withColumn(
+        "prob", F.when(F.col("doc_id") % 7 == 0, F.lit(float("nan")))
+        .when(F.col("doc_id") % 11 != 0, F.col("prob")))
+    return metrics.roc_auc(gaps, "label", "prob")
+
+
 @query
 def request_errors(spark, d):
     """Scoring requests, some of them without a reading or a valid cycle, by what is wrong."""
@@ -590,9 +710,9 @@ def _trend(spark, d, **window):
     path = scratch_path(spark, "trend")
     stream = monitor.with_event_time(_event_stream(spark, d)).withColumn(
         "value", F.col("value").cast(b.MONEY))
-    monitor.run_append(monitor.trend_stream(stream, "value", ["event_type"], **window), path,
+    monitor.run_update(monitor.trend_stream(stream, "value", ["event_type"], **window), path,
                        scratch_path(spark, "trend-checkpoint"))
-    return spark.read.parquet(path)
+    return monitor.read_latest(spark, path, ["window_start", "window_end", "event_type"])
 
 
 @query
@@ -727,5 +847,4 @@ def churn_document(spark, d):
     return documents.churn_document(
         _model_subjects(spark, d), key="customer", contract="contract", charge="monthly",
         blank_text="total_text", outcome="churn", categorical=["contract", *b.SERVICES],
-        numeric=[*SUBJECT_NUMBERS, "total_charges"],
-        segment_options={"restarts": 3, "max_iter": 20}, model_options=FOREST)
+        numeric=[*SUBJECT_NUMBERS, "total_charges"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators.decision import DEFAULT_THRESHOLD, counts_at
-from fieldgauge.operators.ordered import SPLIT_ROWS, running_totals
+from fieldgauge.operators.ordered import SPLIT_ROWS, running_totals, without_nan
 
 # Decay of the penalty for early and late predictions.
 EARLY_DECAY, LATE_DECAY = 13.0, 10.0
@@ -58,11 +58,13 @@ def roc_auc(df: DataFrame, label: str, prob: str, by: Sequence[str] = (), *,
             split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NULL with a single class.
 
-    Equal scores are summed first. The running count of negatives is split over chunks when
+    A NaN score counts as the lowest, as it reaches no threshold. Equal scores are summed first. The running count of negatives is split over chunks when
     a group has very many distinct scores.
     """
     by = list(by)
-    scored = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull())
+    scored = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull()).withColumn(
+        prob, F.coalesce(without_nan(df, prob), F.lit(float("-inf")))
+        if dict(df.dtypes)[prob] in ("double", "float") else F.col(prob))
     positive = (F.col(label) == 1).cast("long")
     ties = scored.groupBy(*by, F.col(prob).alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))

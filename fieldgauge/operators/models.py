@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Sequence
@@ -13,7 +14,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators.metrics import classification_metrics, roc_auc
@@ -171,7 +172,7 @@ def compare_classifiers(df: DataFrame, key: str, label: str, features: Sequence[
     # Fixed once: every fit and score below reads it, and a lost executor costs no recomputing.
     shared_dir(df.sparkSession)
     split = stratified_split(df.select(key, label, *keep, *features), key, label,
-                             seed=seed).checkpoint()
+                             seed=seed, exact=True).checkpoint()
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     scaling = scaling_of(train, features)
     scaled = [f"{c}_std" for c in features]
@@ -211,12 +212,37 @@ def best_model(metrics: DataFrame) -> DataFrame:
 def fit_boosted_regressor(train: DataFrame, features: Sequence[str], label: str, *,
                           trees: int = 100, depth: int = 5, rate: float = 0.05,
                           seed: int = SEED) -> PipelineModel:
-    """Gradient-boosted trees behind an assembler, as one model that can be saved."""
+    """Gradient-boosted trees behind an assembler, as one model that can be saved.
+
+    Rows that miss a sensor teach nothing; the model answers them all the same, with a missing
+    value taken as above every split.
+    """
     stages = [VectorAssembler(inputCols=list(features), outputCol="features",
                               handleInvalid="skip"),
               GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees,
                            maxDepth=depth, stepSize=rate, seed=seed)]
-    return Pipeline(stages=stages).fit(train)
+    model = Pipeline(stages=stages).fit(train)
+    model.stages[0].setHandleInvalid("keep")
+    return model
+
+
+def save_model(model: PipelineModel, path: str, version: str, features: Sequence[str],
+               settings: dict[str, float]) -> None:
+    """Write a fitted model and its card: version, inputs in order, settings."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    card = spark.createDataFrame([(version, list(features), json.dumps(settings, sort_keys=True))],
+                                 "version string, features array<string>, settings string")
+    card.coalesce(1).write.mode("overwrite").json(f"{path}/card")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    """A model written by ``save_model``, with its card."""
+    card = spark.read.schema("version string, features array<string>, settings string") \
+        .json(f"{path}/card").first()
+    return PipelineModel.load(f"{path}/model"), {
+        "version": card["version"], "features": card["features"],
+        "settings": json.loads(card["settings"])}
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_RUL") -> DataFrame:

@@ -104,10 +104,17 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     return reduce(DataFrame.unionByName, parts)
 
 
-def _mean(column: str, window) -> Column:
+def _mean(value: Column, window) -> Column:
     # Sum and count apart, so that decimal inputs are summed exactly.
-    return F.try_divide(F.sum(column).over(window).cast("double"),
-                        F.count(column).over(window).cast("double"))
+    return F.try_divide(F.sum(value).over(window).cast("double"),
+                        F.count(value).over(window).cast("double"))
+
+
+def without_nan(df: DataFrame, column: str) -> Column:
+    """The column with NaN as NULL; other types than floating ones have no NaN."""
+    if dict(df.dtypes)[column] in ("double", "float"):
+        return F.when(~F.isnan(column), F.col(column))
+    return F.col(column)
 
 
 def trailing_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -115,6 +122,7 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   split_rows: int = SPLIT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean of the current and up to ``rows - 1`` earlier rows, for every column.
 
+    NULL and NaN are left out of sums and counts; without any value the mean is NULL.
     All columns share one window, hence one sort. An entity above ``split_rows`` is cut
     into blocks by row position; each block borrows the last rows of the block before it.
     """
@@ -127,7 +135,8 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     parts = []
     if normal is not None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-        parts.append(normal.withColumns({f"{c}{suffix}": _mean(c, w) for c in columns}))
+        parts.append(normal.withColumns(
+            {f"{c}{suffix}": _mean(without_nan(df, c), w) for c in columns}))
     if hot is not None:
         located = running_totals(hot, keys, order, {_POSITION: F.lit(1).cast("long")},
                                  split=True)
@@ -138,7 +147,8 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                       F.when(ends_block, F.array(F.col(_HOME), F.col(_HOME) + 1))
                       .otherwise(F.array(F.col(_HOME))))))
         w = Window.partitionBy(*keys, _CHUNK).orderBy(_POSITION).rowsBetween(*frame)
-        parts.append(blocks.withColumns({f"{c}{suffix}": _mean(c, w) for c in columns})
+        parts.append(blocks.withColumns({f"{c}{suffix}": _mean(without_nan(df, c), w)
+                                          for c in columns})
                      .filter(F.col(_CHUNK) == F.col(_HOME)).select(*df.columns, *names))
     return reduce(DataFrame.unionByName, parts)
 

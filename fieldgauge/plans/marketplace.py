@@ -183,7 +183,7 @@ def state_performance(orders: DataFrame, items: DataFrame, customers: DataFrame,
         .alias("avg_delivery_days"),
         m["score"].alias("avg_review_score"))
     return (min_volume(report, "order_count", min_orders)
-            .withColumn("risk_tag", fx.delivery_risk_tag("avg_delivery_days"))
+            .withColumn("risk_tag", fx.delivery_risk_tag(F.round("avg_delivery_days", 1)))
             .orderBy(F.desc("revenue"), "state"))
 
 

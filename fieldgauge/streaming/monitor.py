@@ -67,7 +67,8 @@ def trend(readings: DataFrame, value: str, by: Sequence[str], *, length: str = "
 
 def trend_stream(readings: DataFrame, value: str, by: Sequence[str], *, ts: str = "ts",
                  watermark: str = WATERMARK, **window) -> DataFrame:
-    """The same trend over a stream, for append mode: a window comes out once it is closed."""
+    """The same trend over a stream, for update mode: a window's newest row counts, so the
+    windows that are still open are there as well."""
     return trend(readings.withWatermark(ts, watermark), value, by, ts=ts, **window)
 
 
@@ -205,7 +206,7 @@ def start_monitor(readings: DataFrame, folder: str, *, key: str, order: Sequence
         start_update(step_counter(readings, key), *place("steps"), **trigger),
         start_update(buffer_stream(readings, key, order, spread=spread), *place("buffer"),
                      **trigger)]
-    started += [start_append(trend_stream(readings, sensor, [key], length=length),
+    started += [start_update(trend_stream(readings, sensor, [key], length=length),
                              *place(f"trend_{sensor}"), **trigger) for sensor in sensors]
     return started
 
