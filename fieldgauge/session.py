@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows may hold whole texts: smaller batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
