@@ -144,6 +144,13 @@ def state_performance_dedup(spark, d):
     return _state_performance(spark, d, "dedup")
 
 
+@query
+def top_states(spark, d):
+    """The three states with the most revenue."""
+    return m.state_performance(b.orders(spark, d), b.items(spark, d), b.customers(spark, d),
+                               b.reviews(spark, d), min_orders=0, top=3, **MARKET)
+
+
 @query
 def payment_breakdown(spark, d):
     return m.payment_breakdown(b.payments(spark, d), UNDEFINED_PAYMENT, minor_units=b.CENTS)
@@ -671,6 +678,43 @@ def request_errors(spark, d):
         F.count(F.lit(1)).alias("requests"))
 
 
+def _requests(spark, d):
+    """Requests of which some lack the unit, the reading or a valid cycle, or repeat a cycle."""
+    return b.engine_rows(spark, d).select(
+        F.col("event_id").alias("request"),
+        F.when(F.col("event_id") % 17 != 0, F.col("unit")).alias("unit"),
+        (F.col("event_id") % 40).alias("cycle"),
+        F.when(F.col("event_id") % 50 != 0, F.col("s_1")).alias("s_1"), "s_2", "s_3")
+
+
+def _outcomes(answers, rejects):
+    return (answers.select("request", F.lit("answered").alias("outcome"))
+            .unionByName(rejects.select("request", F.col("error").alias("outcome")))
+            .groupBy("outcome").agg(F.count(F.lit(1)).alias("requests"),
+                                    F.count_distinct("request").alias("different")))
+
+
+@query
+def request_outcomes(spark, d):
+    """What becomes of every request of a stream."""
+    model, *_ = _forecast(spark, d)
+    folder = scratch_path(spark, "requests")
+    _requests(spark, d).coalesce(1).write.parquet(folder)
+    job = scoring.ScoringJob(model, "1", scratch_path(spark, "scoring"), "unit", "cycle", SENSORS,
+                             request="request")
+    job.run(monitor.table_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema))
+    return _outcomes(job.answers(spark), job.rejects(spark))
+
+
+@query
+def request_outcomes_batch(spark, d):
+    """The same of a table of requests."""
+    model, *_ = _forecast(spark, d)
+    return _outcomes(*scoring.score_requests(
+        model, _requests(spark, d), SENSORS, unit="unit", cycle="cycle", version="1",
+        request="request"))
+
+
 @query
 def maintenance_roi(spark, d):
     model, _, _, observed, truth = _forecast(spark, d)

@@ -109,6 +109,7 @@ def bin_ordinal(label: Column | str, labels: Sequence[str]) -> Column:
 def segment_label(churn_rate: Column | str, tenure: Column | str,
                   charge: Column | str) -> Column:
     """Name of a customer segment, from its averages rounded to two digits."""
+    # The limits and names of the reports.
     churn_rate, tenure, charge = _col(churn_rate), _col(tenure), _col(charge)
     return (F.when(churn_rate > 0.35, "New & At-Risk")
             .when((tenure > 40) & (charge > 70), "Loyal High-Value")
@@ -151,6 +152,7 @@ def equipment_status(health: Column | str, temperature: Column | str, torque: Co
 
 def alert_text(status: Column | str, temperature: Column | str, torque: Column | str) -> Column:
     """Message for a reading that needs attention; NULL for a normal one."""
+    # The texts of the monitor.
     status = _col(status)
     return (F.when(status == FAILURE_IMMINENT,
                    F.concat(F.lit("ALERT: Sensor anomaly detected! Air Temp: "),

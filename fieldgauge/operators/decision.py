@@ -147,6 +147,7 @@ def optimal_threshold(costed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return best.select(*by, "best.*")
 
 
+# The names that the reports give the policies.
 POLICY_NAMES = ("Run-To-Failure (Reactive)", "Standard Model", "Cost-Optimized Model")
 RETENTION_NAMES = ("No Program", "Standard Threshold", "Optimized Threshold")
 

@@ -145,6 +145,8 @@ t AS (
   WHERE {DONE} AND delivered IS NOT NULL
   GROUP BY state HAVING count(DISTINCT o.order_id) >= 150)
 SELECT *, {TAG} FROM t"""
+SQL["top_states"] = (SQL["state_performance"].replace(">= 150", ">= 0")
+                     + " ORDER BY revenue DESC, state LIMIT 3")
 SQL["state_performance_dedup"] = f"""
 WITH {ORD}, {ITEM}, {REV}, {STATE},
 sums AS (SELECT order_id, sum(price + freight) AS amount FROM item GROUP BY order_id),
@@ -586,6 +588,20 @@ FROM events LIMIT 1"""
 SQL["forecast_answers"] = """
 SELECT count(*) AS cycles, count(DISTINCT user_id) AS batch_units,
        count(DISTINCT user_id) AS stream_units, CAST(0 AS BIGINT) AS different FROM events"""
+_outcome = """
+WITH request AS (
+  SELECT event_id, CASE WHEN event_id % 17 != 0 THEN user_id END AS unit, event_id % 40 AS cycle,
+         CASE WHEN event_id % 40 < 1 THEN 'cycle must be 1 or more'
+              WHEN event_id % 50 = 0 THEN 's_1 is missing' END AS error FROM events),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY unit, cycle, error IS NULL
+                               ORDER BY event_id DESC) AS newer FROM request),
+judged AS (
+  SELECT CASE WHEN error IS NOT NULL THEN error
+              WHEN unit IS NOT NULL AND newer > 1 THEN 'cycle was sent again'
+              ELSE 'answered' END AS outcome FROM ranked)
+SELECT outcome, count(*) AS requests, count(*) AS different FROM judged GROUP BY outcome"""
+SQL["request_outcomes"] = SQL["request_outcomes_batch"] = _outcome
 SQL["rolling_features_gaps"] = """
 WITH series AS (
   SELECT user_id AS unit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle,

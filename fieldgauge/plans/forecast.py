@@ -70,8 +70,8 @@ def service_response(model: PipelineModel, history: DataFrame, columns: Sequence
 
 
 def respond(model: PipelineModel, rows: DataFrame, *, unit: str, cycle: str, version: str,
-            horizon: float = fx.FAILURE_HORIZON) -> DataFrame:
+            horizon: float = fx.FAILURE_HORIZON, keep: Sequence[str] = ()) -> DataFrame:
     """The same answer for rows that already carry their features."""
     return models.predict(model, rows).select(
-        unit, cycle, "predicted_RUL", (F.col("predicted_RUL") <= horizon).alias("alert"),
+        *keep, unit, cycle, "predicted_RUL", (F.col("predicted_RUL") <= horizon).alias("alert"),
         F.lit(version).alias("model_version"))

@@ -166,8 +166,10 @@ def category_risk(orders: DataFrame, items: DataFrame, products: DataFrame,
 def state_performance(orders: DataFrame, items: DataFrame, customers: DataFrame,
                       reviews: DataFrame, *, mode: str = "as_joined",
                       min_orders: int = MIN_STATE_ORDERS,
-                      delivered: str = DELIVERED, minor_units: int = 1) -> DataFrame:
-    """Revenue, delivery days and review score by customer state, with a risk tag."""
+                      delivered: str = DELIVERED, minor_units: int = 1,
+                      top: int | None = None) -> DataFrame:
+    """Revenue, delivery days and review score by customer state, with a risk tag; the tag
+    follows the figure shown, which has one decimal. ``top`` keeps the states of most revenue."""
     as_joined = _check(mode)
     m = _order_measures(as_joined, minor_units)
     placed = (delivered_only(orders, delivered).filter(F.col("delivered").isNotNull())
@@ -182,9 +184,10 @@ def state_performance(orders: DataFrame, items: DataFrame, customers: DataFrame,
         fx.ratio(F.sum(F.col("days") * joined_rows), F.sum(joined_rows))
         .alias("avg_delivery_days"),
         m["score"].alias("avg_review_score"))
-    return (min_volume(report, "order_count", min_orders)
-            .withColumn("risk_tag", fx.delivery_risk_tag(F.round("avg_delivery_days", 1)))
-            .orderBy(F.desc("revenue"), "state"))
+    ranked = (min_volume(report, "order_count", min_orders)
+              .withColumn("risk_tag", fx.delivery_risk_tag(F.round("avg_delivery_days", 1)))
+              .orderBy(F.desc("revenue"), "state"))
+    return ranked if top is None else ranked.limit(top)
 
 
 def payment_breakdown(payments: DataFrame, undefined: str = UNDEFINED_PAYMENT, *,

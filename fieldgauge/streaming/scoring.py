@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators.features import WINDOW_ROWS, rolling_features
@@ -31,9 +31,49 @@ def request_error(unit: str, cycle: str, columns: Sequence[str]) -> Column:
                   f"{cycle} must be 1 or more").otherwise(out)
 
 
+_ARRIVAL, _ENTITY = "__arrival", "__entity"
+
+
+def judge_requests(requests: DataFrame, columns: Sequence[str], *, unit: str, cycle: str,
+                   request: str | None = None) -> DataFrame:
+    """Every request with the series it belongs to and an ``error``, NULL for a good one.
+
+    A request without a unit is a series of its own. Of several for one unit and cycle the
+    newest counts, as a whole row; the others are told that their cycle was sent again.
+    """
+    arrival = F.col(request) if request else F.monotonically_increasing_id()
+    rows = requests.withColumn(_ARRIVAL, arrival).withColumn(
+        _ENTITY, F.when(F.col(unit).isNull(), F.concat(F.lit("request "), F.col(_ARRIVAL)))
+        .otherwise(F.concat(F.lit("unit "), F.col(unit).cast("string"))))
+    rows = rows.withColumn("error", request_error(unit, cycle, columns))
+    newest = Window.partitionBy(_ENTITY, cycle, F.col("error").isNull()).orderBy(
+        F.col(_ARRIVAL).desc())
+    return rows.withColumn("error", F.when(
+        F.col("error").isNull() & (F.row_number().over(newest) > 1),
+        f"{cycle} was sent again").otherwise(F.col("error")))
+
+
+def score_requests(model: PipelineModel, requests: DataFrame, columns: Sequence[str], *,
+                   unit: str, cycle: str, version: str, request: str | None = None,
+                   horizon: float = fx.FAILURE_HORIZON) -> tuple[DataFrame, DataFrame]:
+    """Answers and rejects of a table of requests; each request is in one of them."""
+    judged = judge_requests(requests, columns, unit=unit, cycle=cycle, request=request)
+    named = [request] if request else []
+    good = judged.filter(F.col("error").isNull())
+    featured = rolling_features(good, columns, unit=_ENTITY, cycle=cycle)
+    answers = respond(model, featured, unit=unit, cycle=cycle, version=version, horizon=horizon,
+                      keep=named)
+    bad = judged.filter(F.col("error").isNotNull()).select(*named, unit, cycle, *columns, "error")
+    return answers, bad
+
+
 @dataclass(frozen=True)
 class ScoringJob:
-    """Where a scoring stream keeps its answers, rejected rows and last rows per unit."""
+    """Where a scoring stream keeps its answers, rejected rows and last rows per unit.
+
+    ``request`` names the column that tells requests apart; answers and rejects carry it.
+    Every request is answered or rejected with a reason.
+    """
 
     model: PipelineModel
     version: str
@@ -42,43 +82,48 @@ class ScoringJob:
     cycle: str
     columns: tuple[str, ...]
     horizon: float = fx.FAILURE_HORIZON
+    request: str | None = None
 
     def _held(self, batch_id: int) -> str:
         # Two slots: a repeated batch reads the other slot and replaces its own.
         return f"{self.folder}/held/slot={batch_id % 2}"
 
     def score_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Answer for the newest cycle of every unit in the batch."""
+        """Answer for every good request of the batch."""
         spark = batch.sparkSession
         batch.persist(StorageLevel.MEMORY_AND_DISK)
-        kept = [self.unit, self.cycle, *self.columns]
-        checked = batch.select(*kept, request_error(self.unit, self.cycle, self.columns)
-                               .alias("error"))
-        (checked.filter(F.col("error").isNotNull())
-         .write.mode("overwrite").parquet(f"{self.folder}/rejects/{BATCH}={batch_id}"))
-        fresh = checked.filter(F.col("error").isNull()).select(*kept, F.lit(True).alias("fresh"))
-        # A cycle sent twice counts once; a cycle already answered for is dropped.
-        fresh = fresh.groupBy(self.unit, self.cycle).agg(
-            *[F.max(c).alias(c) for c in [*self.columns, "fresh"]])
-        rows = fresh
+        named = [self.request] if self.request else []
+        kept = [*named, self.unit, self.cycle, *self.columns]
+        judged = judge_requests(batch.select(*kept), self.columns, unit=self.unit,
+                                cycle=self.cycle, request=self.request)
+        held = None
         if batch_id > 0:
             held = spark.read.parquet(self._held(batch_id - 1))
             seen = held.groupBy(F.col(self.unit).alias("__unit")).agg(
                 F.max(self.cycle).alias("__seen"))
-            new = (F.col(self.unit).eqNullSafe(F.col("__unit"))
-                   & (F.col(self.cycle) <= F.col("__seen")))
-            rows = fresh.join(seen, new, "left_anti").unionByName(
-                held.withColumn("fresh", F.lit(False)))
+            late = F.col("error").isNull() & (F.col(self.cycle) <= F.col("__seen"))
+            judged = judged.join(seen, F.col(self.unit) == F.col("__unit"), "left").withColumn(
+                "error", F.when(late, f"{self.cycle} is not after the last one answered")
+                .otherwise(F.col("error"))).drop("__unit", "__seen")
+        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
+        (judged.filter(F.col("error").isNotNull()).select(*kept, "error")
+         .write.mode("overwrite").parquet(f"{self.folder}/rejects/{BATCH}={batch_id}"))
+        rows = judged.filter(F.col("error").isNull()).select(
+            *kept, _ENTITY, F.lit(True).alias("fresh"))
+        if held is not None:
+            rows = rows.unionByName(held.withColumn("fresh", F.lit(False)),
+                                    allowMissingColumns=True)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        featured = rolling_features(rows, self.columns, unit=self.unit, cycle=self.cycle)
-        newest = last_row(featured.filter("fresh"), [self.unit], [self.cycle])
-        answers = respond(self.model, newest, unit=self.unit, cycle=self.cycle,
-                          version=self.version, horizon=self.horizon)
+        featured = rolling_features(rows, self.columns, unit=_ENTITY, cycle=self.cycle)
+        answers = respond(self.model, featured.filter("fresh"), unit=self.unit,
+                          cycle=self.cycle, version=self.version, horizon=self.horizon,
+                          keep=named)
         answers.write.mode("overwrite").parquet(f"{self.folder}/answers/{BATCH}={batch_id}")
-        (last_n_rows(rows, [self.unit], [self.cycle], WINDOW_ROWS).drop("fresh")
+        (last_n_rows(rows.filter(F.col(self.unit).isNotNull()), [self.unit], [self.cycle],
+                     WINDOW_ROWS).drop("fresh", *named)
          .write.mode("overwrite").parquet(self._held(batch_id)))
-        rows.unpersist()
-        batch.unpersist()
+        for frame in (rows, judged, batch):
+            frame.unpersist()
 
     def run(self, stream: DataFrame) -> None:
         """Process what is there."""
@@ -90,7 +135,8 @@ class ScoringJob:
         return spark.read.parquet(f"{self.folder}/answers")
 
     def latest_answers(self, spark) -> DataFrame:
-        return last_row(self.answers(spark), [self.unit], [BATCH]).drop(BATCH)
+        """The answer to the newest cycle of every unit; of anonymous requests, the last one."""
+        return last_row(self.answers(spark), [self.unit], [BATCH, self.cycle]).drop(BATCH)
 
     def rejects(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/rejects")

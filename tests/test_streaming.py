@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fieldgauge.operators import models
 from fieldgauge.operators.ordered import last_n_rows
 from fieldgauge.plans import forecast
 from fieldgauge.session import scratch_path
@@ -202,3 +203,37 @@ def test_bad_requests_are_reported(spark, model):
 def test_model_info(model):
     info = scoring.model_info(model, "3")
     assert info["model_version"] == "3" and info["maxDepth"] == "3"
+
+
+def test_every_request_is_answered_or_rejected(spark, engines, model):
+    job = scoring.ScoringJob(model, "1", scratch_path(spark, "score"), "unit", "cycle",
+                             ("s_1", "s_2"), request="request")
+    schema = "request long, unit int, cycle int, s_1 double, s_2 double"
+    first = [(1, None, 1, 0.5, 0.5), (2, None, 1, 0.7, 0.5), (3, 4, 1, 0.5, 0.5),
+             (4, 4, 1, 9.5, 0.1), (5, 4, 2, 0.5, None)]
+    second = [(6, None, 1, 0.5, 0.5), (7, 4, 1, 0.5, 0.5), (8, 4, 3, 0.4, 0.4)]
+    for number, rows in enumerate((first, second)):
+        job.score_batch(spark.createDataFrame(rows, schema), number)
+    answered = {r["request"]: r["predicted_RUL"] for r in job.answers(spark).collect()}
+    rejected = {r["request"]: r["error"] for r in job.rejects(spark).collect()}
+    assert set(answered) == {1, 2, 4, 6, 8}
+    assert rejected == {3: "cycle was sent again", 5: "s_2 is missing",
+                        7: "cycle is not after the last one answered"}
+    assert answered[1] == answered[6]  # anonymous requests share no history
+
+
+def test_a_missing_sensor_is_answered(spark, engines, model):
+    gap = engines.withColumn("s_1", F.when(F.col("unit") == 2, None).otherwise(F.col("s_1")))
+    got = forecast.service_response(model, gap, ["s_1", "s_2"], unit="unit", cycle="cycle",
+                                    version="1")
+    assert got.count() == 12
+
+
+def test_stored_model_answers_alike(spark, engines, model):
+    path = scratch_path(spark, "model")
+    models.save_model(model, path, "7", ["s_1"], {"trees": 5})
+    loaded, card = models.load_model(spark, path)
+    assert card == {"version": "7", "features": ["s_1"], "settings": {"trees": 5}}
+    both = [forecast.service_response(m, engines, ["s_1", "s_2"], unit="unit", cycle="cycle",
+                                      version="7") for m in (model, loaded)]
+    assert rows_of(both[0]) == rows_of(both[1])
