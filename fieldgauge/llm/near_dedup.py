@@ -5,9 +5,8 @@ a band of their signatures meet in a bucket; a candidate counts as a link only i
 weighted Jaccard similarity of the two multisets reaches the threshold. Classes are the
 connected components of the links.
 
-No bucket forms all its pairs. Its members are compared with its first member; what is still
-unconnected then is compared in full only in small buckets, while large ones are split by the
-keys of further bands, in which links reappear as surely as in the first ones.
+No bucket forms all its pairs: its members are compared with one of them at a time, and the
+triangle inequality says which further pairs can matter.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from fieldgauge.llm.bagminhash import band_keys, signatures
 from fieldgauge.llm.common import grams, hashed_words, stored, text_chunks
 
-#: Members up to which the unconnected rest of a bucket is compared in full.
-SMALL = 24
+#: Pairs per member up to which the components left in a bucket are compared pair by pair.
+CROSS = 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int
@@ -85,12 +84,12 @@ def text_digest():
     return F.md5(F.col("text").cast("binary")).alias("same")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets reach the threshold. Each text is fetched by joins on
-    its id; a text in very many pairs is a hot key that the joins may split."""
+def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) with the exact similarity of their multisets. Each text is fetched by
+    joins on its id; a text in very many pairs is a hot key that the joins may split."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags, kept = {}, np.zeros(batch.num_rows, bool)
+            bags, found = {}, np.zeros(batch.num_rows)
             ids = [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
 
             def bag(side: int, row: int):
@@ -100,19 +99,19 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
                         bags.clear()
                     data = np.frombuffer((batch.column(2 + side)[row].as_py() or "").encode(),
                                          np.uint8)
-                    found, counts, _ = shingles(data, np.array([0, len(data)]), size)
-                    bags[key] = found, counts
+                    hashes, counts, _ = shingles(data, np.array([0, len(data)]), size)
+                    bags[key] = hashes, counts
                 return bags[key]
 
             for row in range(batch.num_rows):
-                kept[row] = similarity(bag(0, row), bag(1, row)) >= threshold - 1e-12
-            yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
+                found[row] = similarity(bag(0, row), bag(1, row))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found)],
+                                             names=["a", "b", "alike"])
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
-        .mapInArrow(check, "a long, b long")
+        .mapInArrow(check, "a long, b long, alike double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -150,93 +149,143 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows with their component; an id without links is its own."""
-    named = roots.select(F.col("id").alias("member"), "root")
-    return rows.join(named, rows["id"] == F.col("member"), "left").drop("member") \
-        .withColumn("root", F.coalesce("root", "id"))
+def _rooted(rows: DataFrame, roots: DataFrame, key: str = "id", out: str = "root"
+            ) -> DataFrame:
+    """rows with the component of an id; an id without links is its own."""
+    named = roots.select(F.col("id").alias("member"), F.col("root").alias(out))
+    return rows.join(named, F.col(key) == F.col("member"), "left").drop("member") \
+        .withColumn(out, F.coalesce(out, key))
 
 
-def _split(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The members of large buckets, dealt by each band that the bucket doesn't use yet."""
-    parts = (
-        rows.join(keyed.select(F.col("id").alias("member"), "keys"), F.col("id") == F.col("member"))
-        .select("id", "path", F.explode("keys").alias("key"))
-        .where(~F.array_contains("path", F.col("key")))
-    )
-    return _bucketed(parts.select("id", F.array_sort(F.concat("path", F.array("key")))
-                                  .alias("path")).distinct())
-
-
-def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.xxhash64("path"))
-
+def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, spread: int
+               ) -> tuple[DataFrame, DataFrame]:
+    """Compared pairs that are links, and the components of all links.
 
-def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, small: int,
-               depth: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) and components among texts that share a band.
+    docs: id, text, same. keyed: id, same, keys.
 
-    docs: id, text, same. keyed: id, same, keys. ``depth`` bounds how often a large bucket is
-    split; after the last split its unconnected rest is compared in full, whatever its size.
+    The members of a bucket are compared with its first member. Those that are not linked to
+    it are compared with each other where they belong to different components, if that takes a
+    few pairs per member. Else they make the next bucket, with a first member of their own; if they are many and over four in
+    five, they are dealt by every other band of their signatures instead, in which links
+    reappear and chance meetings don't. So each step handles a member of a bucket once, or once
+    per band. What remains is a text x outside the first member's links and a text y inside
+    them: by the triangle inequality of the distance they can be linked only if x is within
+    twice the allowed distance, and y far enough out; if x has not been connected otherwise,
+    these pairs are compared as well. So no link that connects two classes is lost.
     """
     spark = keyed.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "id long, root long")
-    tried, texts = links, None
-    buckets = keyed.select("id", F.explode("keys").alias("key")) \
-        .select("id", F.array("key").alias("path"), F.col("key").alias("bucket"))
+    limit = threshold - 1e-12
+    pairs_seen = spark.createDataFrame([], "a long, b long, alike double")
+    rings = spark.createDataFrame([], "id long, first long, alike double")
+    linked = rings
+    roots = texts = None
+    groups = keyed.select("id", F.explode("keys").alias("bucket"))
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal tried, links, roots
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            found = stored(verified(pairs, texts, size, threshold), "dedup-links")
-            links = links.unionByName(found)
-            roots = components(links)
-
-    for level in range(depth):
-        # Buckets with one member are gone; the others get their least member and their size.
-        sizes = buckets.groupBy("bucket").agg(
-            F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = stored(buckets.join(sizes, "bucket"), "dedup-shared")
+        nonlocal pairs_seen
+        new = stored(pairs.distinct().join(pairs_seen, ["a", "b"], "left_anti"), "dedup-pairs")
+        if not new.isEmpty():
+            pairs_seen = pairs_seen.unionByName(stored(compared(new, texts, size), "dedup-found"))
+
+    while True:
+        # Buckets with one member are gone; the others get their size and a first member: the
+        # one that meets the most others in all its buckets, as the middle of a family does.
+        sizes = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = groups.join(sizes, "bucket")
         if texts is None:
-            wanted = shared.select("id").distinct().join(keyed.select("id", "same"), "id")
+            shared = shared.withColumn("path", F.array("bucket"))
+        shared = stored(shared, "dedup-shared")
+        met = shared.groupBy(F.col("id").alias("member")).agg(F.sum("n").alias("met"))
+        rank = F.col("met") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+        ranked = shared.join(met, F.col("id") == F.col("member")).select(
+            "id", "path", "bucket", "n", rank.alias("rank"))
+        firsts = ranked.groupBy(F.col("bucket").alias("of")).agg(
+            F.max_by("id", "rank").alias("first"))
+        members = stored(shared.join(firsts, F.col("bucket") == F.col("of")).drop("of"),
+                         "dedup-members")
+        if members.isEmpty():
+            break
+        if texts is None:
+            wanted = members.select("id").distinct().join(keyed.select("id", "same"), "id")
             texts = stored(
                 docs.join(wanted.select(F.col("id").alias("of"), F.col("same").alias("right")),
                           F.col("id") == F.col("of"))
                 .where(F.col("same") == F.col("right")).select("id", "text")
                 .dropDuplicates(["id"]), "dedup-texts")
-        compare(shared.where("id <> first").select(F.col("first").alias("a"),
-                                                   F.col("id").alias("b")))
-        # What is left: the members of buckets that hold several components.
-        placed = _rooted(shared, roots)
-        mixed = placed.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = stored(placed.join(mixed.select("bucket"), "bucket"), "dedup-rest")
-        last = level == depth - 1
-        few = rest.where("id <> first")
-        few = few if last else few.where(F.col("n") <= small)
-        one = few.select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"))
-        two = few.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-        compare(one.join(two, "bucket").where("a < b AND root_a <> root_b").select("a", "b"))
-        many = rest.where(F.col("n") > small)
-        if last or many.isEmpty():
-            break
-        buckets = stored(_split(many, keyed), "dedup-buckets")
-    return links, roots
+        others = members.where("id <> first")
+        compare(others.select(F.least("first", "id").alias("a"), F.greatest("first", "id")
+                              .alias("b")))
+        roots = components(pairs_seen.where(F.col("alike") >= limit))
+        judged = stored(
+            others.withColumn("a", F.least("first", "id")).withColumn("b", F.greatest("first", "id"))
+            .join(pairs_seen, ["a", "b"]).drop("a", "b"), "dedup-judged")
+        by_first = judged.select("id", "first", "alike").distinct()
+        rings = rings.unionByName(by_first.where(
+            (F.col("alike") < limit) & (F.col("alike") >= 2 * limit - 1)))
+        linked = linked.unionByName(by_first.where(F.col("alike") >= limit))
+        rest = _rooted(judged.where(F.col("alike") < limit), roots)
+        # Only where several components are left can a link be missing. Members of one need
+        # no comparing, so what may be left to do is counted in pairs of different ones.
+        shape = (
+            rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("bucket").agg(F.sum("c").alias("left"), F.sum(F.col("c") * F.col("c"))
+                                   .alias("squares"), F.max_by("root", "c").alias("main"))
+            .where(F.col("left") * F.col("left") > F.col("squares"))
+        )
+        rest = stored(rest.join(shape, "bucket"), "dedup-rest")
+        cheap = F.col("left") * F.col("left") - F.col("squares") <= 2 * CROSS * F.col("left")
+        few = rest.where(cheap)
+        minor = few.where("root <> main").select("bucket", F.col("id").alias("x"), F.col("root")
+                                                 .alias("root_x"), F.col("alike").alias("alike_x"))
+        other = few.select("bucket", F.col("id").alias("y"), F.col("root").alias("root_y"),
+                           F.col("alike").alias("alike_y"))
+        compare(minor.join(other, "bucket").where(
+            (F.col("root_x") != F.col("root_y"))
+            & (F.abs(F.col("alike_x") - F.col("alike_y")) <= 1 - limit))
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        rest = rest.where(~cheap).select("id", "path", "bucket", "n", "left")
+        wide = (F.col("left") > spread) & (F.col("left") * 5 > F.col("n") * 4) \
+            & (F.size("path") < 6)
+        again = rest.where(~wide).select(
+            "id", "path", F.xxhash64("bucket", F.lit("next")).alias("bucket"))
+        dealt = (
+            rest.where(wide)
+            .join(keyed.select(F.col("id").alias("member"), "keys"),
+                  F.col("id") == F.col("member"))
+            .select("id", "path", F.explode("keys").alias("key"))
+            .where(~F.array_contains("path", F.col("key")))
+            .select("id", F.array_sort(F.concat("path", F.array("key"))).alias("path"))
+            .distinct().withColumn("bucket", F.xxhash64("path"))
+        )
+        groups = stored(again.unionByName(dealt), "dedup-groups")
+    if texts is None:
+        return pairs_seen.select("a", "b"), spark.createDataFrame([], "id long, root long")
+    roots = components(pairs_seen.where(F.col("alike") >= limit))
+    outer = _rooted(_rooted(rings.distinct(), roots), roots, "first", "first_root") \
+        .where("root <> first_root") \
+        .select(F.col("id").alias("x"), "first", F.col("alike").alias("alike_x"))
+    inner = linked.distinct().select(F.col("id").alias("y"), "first",
+                                     F.col("alike").alias("alike_y"))
+    before = pairs_seen
+    compare(outer.join(inner, "first")
+            .where(F.col("alike_y") <= F.col("alike_x") + (1 - limit))
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    links = pairs_seen.where(F.col("alike") >= limit)
+    if before is not pairs_seen:
+        roots = components(links)
+    return links.select("a", "b"), roots
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                 threshold: float = 0.8, bands: int = 32, rows: int = 5, small: int = SMALL,
-                 depth: int = 4) -> DataFrame:
+                 threshold: float = 0.8, bands: int = 64, rows: int = 8, spread: int = 4
+                 ) -> DataFrame:
     """Per row: id, class_id (the least id of its class), copies_of (the least id with the same
     text), n_links (links of that text to different texts, of those that were compared) and
     kept (the row of the class's least id).
 
     Links hold between texts with a weighted Jaccard similarity of at least ``threshold``. Two
-    such texts share none of the bands with a probability of (1 - threshold**rows)**bands, 3e-6
-    with these parameters. NULL counts as the empty text; equal texts are one class, and texts
+    such texts share none of the bands with a probability of (1 - threshold**rows)**bands, 8e-6
+    with these parameters; texts half alike share any with one of 22 %. NULL counts as the empty text; equal texts are one class, and texts
     without words are linked to no other. Rows that repeat an id have one class, that of the
     text with the least digest among those whose least id it is; all rows are returned. A row
     with a NULL id has no class and is kept. An empty table gives no rows.
@@ -253,7 +302,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("id").agg(F.min(F.struct("same", "keys")).alias("least"))
         .select("id", "least.same", "least.keys").where(F.size("keys") > 0), "dedup-keys")
     links, roots = near_links(named.select("id", "text", text_digest()), keyed, size, threshold,
-                              small, depth)
+                              spread)
     degree = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id") \
         .agg(F.count(F.lit(1)).alias("n_links"))
     linked = stored(roots.select(F.col("id").alias("text_id"), "root")

@@ -94,10 +94,10 @@ def families():
     return rows
 
 
-@pytest.mark.parametrize("small", [0, 24])
-def test_classes_like_brute_force(spark, families, small):
+@pytest.mark.parametrize("spread", [0, 4, 1000])
+def test_classes_like_brute_force(spark, families, spread):
     docs = spark.createDataFrame(families, "doc_id long, text string")
-    got = near_dedup.near_classes(docs, small=small)
+    got = near_dedup.near_classes(docs, spread=spread)
     found = {r.doc_id: r.class_id for r in got.collect()}
     assert found == brute_classes(families)
     assert {r.doc_id for r in got.where("kept").collect()} == set(found.values())
