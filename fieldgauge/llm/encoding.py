@@ -10,8 +10,15 @@ import numpy as np
 #: A space before a character that is no white space always starts a new pre-token of a
 #: byte-level tokenizer, so the text can be cut there and the ids joined.
 _CUT = re.compile(r" (?=\S)")
-#: Distinct pieces kept per worker, about 150 MB.
-CACHE_PIECES = 600_000
+#: Texts with such a place can't be cut at every space.
+_ODD = re.compile(r" (?:\s|$)")
+#: Distinct pieces kept per worker, about 190 MB.
+CACHE_PIECES = 800_000
+
+
+def cut_at_words(text: str) -> list[str]:
+    """The text's first piece, and those that follow a space, without it."""
+    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
 def default_vocabulary() -> str:
@@ -31,7 +38,7 @@ class Encoder:
         self.size = max(vocabulary.values()) + 1
         self._leads = np.zeros(self.size, bool)
         self._leads[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self._pieces: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {"": b""}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in
@@ -42,32 +49,32 @@ class Encoder:
         is told apart again by the ids that begin with a space."""
         single = [p for p in pieces if " " not in p]
         joined = self._plain([" " + " ".join(single)])[0] if single else b""
-        ids = np.frombuffer(joined, "<u4")
-        starts = np.flatnonzero(self._leads[ids])
+        starts = np.flatnonzero(self._leads[np.frombuffer(joined, "<u4")])
+        rest = pieces
         if len(starts) == len(single):
-            ends = [*(starts[1:] * 4).tolist(), len(joined)]
-            for piece, a, b in zip(single, (starts * 4).tolist(), ends):
-                self._pieces[piece] = joined[a:b]
+            at = [*(starts * 4).tolist(), len(joined)]
+            self._pieces.update((p, joined[a:b]) for p, a, b in zip(single, at, at[1:]))
             rest = [p for p in pieces if " " in p]
-        else:
-            rest = pieces
-        self._pieces.update(zip(rest, self._plain([" " + p for p in rest])))
+        if rest:
+            self._pieces.update(zip(rest, self._plain([" " + p for p in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) for t in texts]
+        cut = [cut_at_words(t) for t in texts]
+        heads = self._plain([parts[0] for parts in cut])
         known = self._pieces
-        wanted = set()
+        wanted: set[str] = set()
         for parts in cut:
-            wanted.update(parts[1:])
-        missing = [p for p in wanted if p not in known]
+            parts[0] = ""  # a piece that all share
+            wanted.update(parts)
+        missing = list(wanted.difference(known))
         if len(known) + len(missing) > CACHE_PIECES:
             known.clear()
-            missing = list(wanted)
+            known[""] = b""
+            missing = list(wanted.difference(known))
         for i in range(0, len(missing), 5000):
             self._learn(missing[i:i + 5000])
-        heads = self._plain([parts[0] for parts in cut])
         find = known.__getitem__
-        return [head + b"".join(map(find, parts[1:])) for head, parts in zip(heads, cut)]
+        return [head + b"".join(map(find, parts)) for head, parts in zip(heads, cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -71,7 +71,7 @@ def sampled(labels: DataFrame, label: str, bound: int, seen: Column, id_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, seen: Column, id_col: str = "doc_id",
-        text_col: str = "text", dimensions: int = 1 << 20, bound: int = 6000, epochs: int = 4, l1: float = 4.0
+        text_col: str = "text", dimensions: int = 1 << 20, bound: int = 4000, epochs: int = 4, l1: float = 4.0
         ) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and intercept, learnt from at most ``bound`` texts of each label.
 
@@ -170,7 +170,7 @@ def scored(docs: DataFrame, scorer, text_col: str = "text", score: str = "score"
 
 def toxicity_scorer(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "toxic",
                     id_col: str = "doc_id", text_col: str = "text", dimensions: int = 1 << 20,
-                    bound: int = 6000) -> Scorer:
+                    bound: int = 4000) -> Scorer:
     """The fitted model. A NULL or empty text scores the intercept's probability."""
     return Scorer(*fit(docs, labels, label, seen, id_col, text_col, dimensions, bound),
                   dimensions)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,21 @@ class WaveletMatrix:
 
     def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.before = []
-        for words in planes:
-            ones = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
-            self.before.append(np.concatenate([[0], np.cumsum(ones)]))
+
+    @cached_property
+    def before(self) -> list[np.ndarray]:
+        """Per plane the ones before every block."""
+        ones = [np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
+                for words in self.planes]
+        return [np.concatenate([[0], np.cumsum(n)]) for n in ones]
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        values, planes, zeros = ids.astype(np.uint32), [], []
+        kind = np.uint16 if bits <= 16 else np.uint32
+        values, planes, zeros = ids.astype(kind), [], []
         size = (len(ids) // BLOCK + 1) * (BLOCK // 8)
         for level in range(bits - 1, -1, -1):
-            one = (values >> np.uint32(level)) & np.uint32(1) == 1
+            one = (values & kind(1 << level)).astype(bool)
             packed = np.zeros(size, np.uint8)
             raw = np.packbits(one, bitorder="little")
             packed[:len(raw)] = raw
@@ -124,13 +129,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, plane by plane from the lowest: each plane undoes its stable partition."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for level in range(len(self.zeros) - 1, -1, -1):
             one = np.unpackbits(self.planes[level].view(np.uint8), bitorder="little",
                                 count=self.n).view(bool)
             above, zeros = np.empty_like(values), self.zeros[level]
             above[~one] = values[:zeros]
-            above[one] = values[zeros:] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            above[one] = values[zeros:] | kind(1 << (len(self.zeros) - 1 - level))
             values = above
         return values
 
