@@ -22,6 +22,8 @@ from fieldgauge.llm.common import grams, hashed_words, stored, text_chunks
 
 #: Pairs per member up to which the components left in a bucket are compared pair by pair.
 CROSS = 32
+#: Buckets in which shingles are counted to put the rare ones first.
+RARITY = 1 << 18
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int
@@ -114,6 +116,52 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         .mapInArrow(check, "a long, b long, alike double")
 
 
+def rare_shingles(texts: DataFrame, size: int, limit: float) -> DataFrame:
+    """texts: id, text. Per text, the shingles that can be the first one it shares with a text
+    of at least this similarity: id, bucket, total (the multiset's size), at (how much of it
+    stands before the shingle).
+
+    Shingles stand in one order for all texts, those in few texts first. Two multisets that
+    share ``both`` of their ``total`` have both >= limit * total, and nothing before their first
+    shared shingle is shared, so at <= (1 - limit) * total. So every link meets in a bucket,
+    whatever the order is; the order only keeps common passages out of the buckets.
+    """
+    spark, mask = texts.sparkSession, np.uint64(RARITY - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(1)):
+                found = shingles(data, offsets, size)[0]
+                total += np.bincount((found & mask).astype(np.int64), minlength=RARITY)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    counted = texts.mapInArrow(count, "at long, n long").groupBy("at").agg(
+        F.sum("n").alias("n")).toArrow()
+    often = np.zeros(RARITY, np.int64)
+    often[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    table = spark.sparkContext.broadcast(often)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                found, counts, of = shingles(data, offsets, size)
+                order = np.lexsort((found, table.value[(found & mask).astype(np.int64)], of))
+                found, counts = found[order], counts[order]
+                before = np.cumsum(counts) - counts
+                total = np.bincount(of, counts, end - first).astype(np.int64)
+                at = before - (np.cumsum(total) - total)[of]
+                use = at <= (1 - limit) * total[of] + 1e-6
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:end].take(pa.array(of[use])),
+                     pa.array(found[use].view(np.int64)), pa.array(total[of][use]),
+                     pa.array(at[use])], names=["id", "bucket", "total", "at"])
+
+    return texts.select("id", "text").mapInArrow(
+        rare, "id long, bucket long, total long, at long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): every linked id with the least id it is connected to.
 
@@ -161,17 +209,19 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
                ) -> tuple[DataFrame, DataFrame]:
     """Compared pairs that are links, and the components of all links.
 
-    docs: id, text, same. keyed: id, same, keys.
+    docs: id, text, same. keyed: id, same, keys (of bands).
 
     The members of a bucket are compared with its first member. Those that are not linked to
     it are compared with each other where they belong to different components, if that takes a
-    few pairs per member. Else they make the next bucket, with a first member of their own; if they are many and over four in
-    five, they are dealt by every other band of their signatures instead, in which links
-    reappear and chance meetings don't. So each step handles a member of a bucket once, or once
-    per band. What remains is a text x outside the first member's links and a text y inside
-    them: by the triangle inequality of the distance they can be linked only if x is within
-    twice the allowed distance, and y far enough out; if x has not been connected otherwise,
-    these pairs are compared as well. So no link that connects two classes is lost.
+    few pairs per member. Else they make the next bucket, with a first member of their own; if
+    they are many and over four in five, they are dealt by their rare shingles instead
+    (``rare_shingles``), in which every link reappears and chance meetings don't. Buckets of
+    rare shingles are not dealt again: what such a one leaves is compared pair by pair, where
+    the sizes and the place of the shingle allow a link. What remains is a text x outside the
+    first member's links and a text y inside them: by the triangle inequality of the distance
+    they can be linked only if x is within twice the allowed distance, and y far enough out; if
+    x has not been connected otherwise, these pairs are compared as well. So of two texts that
+    share a band, no link that connects two classes is lost.
     """
     spark = keyed.sparkSession
     limit = threshold - 1e-12
@@ -179,7 +229,9 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
     rings = spark.createDataFrame([], "id long, first long, alike double")
     linked = rings
     roots = texts = None
-    groups = keyed.select("id", F.explode("keys").alias("bucket"))
+    none = F.lit(None).cast("long")
+    groups = keyed.select("id", F.explode("keys").alias("bucket"), none.alias("total"),
+                          none.alias("at"))
 
     def compare(pairs: DataFrame) -> None:
         nonlocal pairs_seen
@@ -191,14 +243,11 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
         # Buckets with one member are gone; the others get their size and a first member: the
         # one that meets the most others in all its buckets, as the middle of a family does.
         sizes = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = groups.join(sizes, "bucket")
-        if texts is None:
-            shared = shared.withColumn("path", F.array("bucket"))
-        shared = stored(shared, "dedup-shared")
+        shared = stored(groups.join(sizes, "bucket"), "dedup-shared")
         met = shared.groupBy(F.col("id").alias("member")).agg(F.sum("n").alias("met"))
         rank = F.col("met") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
         ranked = shared.join(met, F.col("id") == F.col("member")).select(
-            "id", "path", "bucket", "n", rank.alias("rank"))
+            "id", "bucket", rank.alias("rank"))
         firsts = ranked.groupBy(F.col("bucket").alias("of")).agg(
             F.max_by("id", "rank").alias("first"))
         members = stored(shared.join(firsts, F.col("bucket") == F.col("of")).drop("of"),
@@ -234,30 +283,33 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
         )
         rest = stored(rest.join(shape, "bucket"), "dedup-rest")
         cheap = F.col("left") * F.col("left") - F.col("squares") <= 2 * CROSS * F.col("left")
-        few = rest.where(cheap)
-        minor = few.where("root <> main").select("bucket", F.col("id").alias("x"), F.col("root")
-                                                 .alias("root_x"), F.col("alike").alias("alike_x"))
-        other = few.select("bucket", F.col("id").alias("y"), F.col("root").alias("root_y"),
-                           F.col("alike").alias("alike_y"))
-        compare(minor.join(other, "bucket").where(
+        wide = (F.col("left") > spread) & (F.col("left") * 5 > F.col("n") * 4)
+        by_shingle = F.col("at").isNotNull()
+        few = rest.where(cheap | (wide & by_shingle)).select(
+            "bucket", F.col("id").alias("y"), F.col("root").alias("root_y"), "main",
+            F.col("alike").alias("alike_y"), F.col("total").alias("total_y"),
+            F.col("at").alias("at_y"))
+        minor = few.where("root_y <> main").select(
+            "bucket", *[F.col(f"{c}_y").alias(f"{c}_x") for c in ("root", "alike", "total", "at")],
+            F.col("y").alias("x"))
+        # Nothing before the first shared shingle is shared; NULL in buckets of bands.
+        most = F.least(F.col("total_x") - F.col("at_x"), F.col("total_y") - F.col("at_y"))
+        fits = most * (1 + limit) >= (F.col("total_x") + F.col("total_y")) * limit
+        compare(minor.join(few, "bucket").where(
             (F.col("root_x") != F.col("root_y"))
-            & (F.abs(F.col("alike_x") - F.col("alike_y")) <= 1 - limit))
+            & (F.abs(F.col("alike_x") - F.col("alike_y")) <= 1 - limit)
+            & F.coalesce(fits, F.lit(True)))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        rest = rest.where(~cheap).select("id", "path", "bucket", "n", "left")
-        wide = (F.col("left") > spread) & (F.col("left") * 5 > F.col("n") * 4) \
-            & (F.size("path") < 6)
+        rest = rest.where(~cheap)
         again = rest.where(~wide).select(
-            "id", "path", F.xxhash64("bucket", F.lit("next")).alias("bucket"))
-        dealt = (
-            rest.where(wide)
-            .join(keyed.select(F.col("id").alias("member"), "keys"),
-                  F.col("id") == F.col("member"))
-            .select("id", "path", F.explode("keys").alias("key"))
-            .where(~F.array_contains("path", F.col("key")))
-            .select("id", F.array_sort(F.concat("path", F.array("key"))).alias("path"))
-            .distinct().withColumn("bucket", F.xxhash64("path"))
-        )
-        groups = stored(again.unionByName(dealt), "dedup-groups")
+            "id", F.xxhash64("bucket", F.lit("next")).alias("bucket"), "total", "at")
+        scattered = stored(rest.where(wide & ~by_shingle).select("id").distinct(),
+                           "dedup-scattered")
+        groups = again
+        if not scattered.isEmpty():
+            groups = groups.unionByName(
+                rare_shingles(texts.join(scattered, "id", "left_semi"), size, limit))
+        groups = stored(groups, "dedup-groups")
     if texts is None:
         return pairs_seen.select("a", "b"), spark.createDataFrame([], "id long, root long")
     roots = components(pairs_seen.where(F.col("alike") >= limit))

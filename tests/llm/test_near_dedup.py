@@ -129,3 +129,42 @@ def test_components(spark):
     links = spark.createDataFrame(edges, "a long, b long")
     found = {r.id: r.root for r in near_dedup.components(links).collect()}
     assert {found[i] for i in [*range(1, 41), 100]} == {0} and found[60] == found[70] == 50
+
+
+def test_pairs_in_one_wide_bucket(spark, monkeypatch):
+    """Many unlinked texts meet in one band; a few pairs just above the threshold meet in no
+    other."""
+    monkeypatch.setattr(near_dedup, "CROSS", 4)
+    draw, rows = np.random.default_rng(7), []
+    for i in range(300):
+        words = [f"s{k}" for k in range(40)] + [f"u{i}w{k}" for k in range(60)]
+        if i % 30 == 1:  # like the text before but for its last 10 words, moved by a few
+            words = rows[-1][1].split()[:-10] + [f"v{i}w{k}" for k in range(int(draw.integers(8, 11)))]
+        rows.append((i, " ".join(words)))
+    linked = brute_classes(rows)
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn(
+        "same", near_dedup.text_digest())
+    keyed = docs.selectExpr("id", "same", "array(7L, 1000 + id, 2000 + id) AS keys")
+    links, roots = near_dedup.near_links(docs, keyed, 5, 0.8, 4)
+    found = {r.id: r.root for r in roots.collect()}
+    assert sum(i != c for i, c in linked.items()) == 10
+    assert {i: found.get(i, i) for i in linked} == linked
+    assert 10 <= links.count() <= 20
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_rare_shingles_of_links_meet(spark, families, threshold):
+    """Also in multisets, and the place of the first shared shingle bounds what is shared."""
+    rows = [r for r in families if r[0] < 500] + [(700, "a b c " * 30), (701, "a b c " * 25)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    by = {}
+    for r in near_dedup.rare_shingles(docs, 5, threshold).collect():
+        by.setdefault(r.id, {})[r.bucket] = r.total, r.at
+    bags = {i: bag(t) for i, t in rows}
+    for k, (i, _) in enumerate(rows):
+        for j, _ in rows[k + 1:]:
+            if alike(bags[i], bags[j]) >= threshold:
+                both = by[i].keys() & by[j].keys()
+                shared = sum((bags[i] & bags[j]).values())
+                assert any(min(by[x][b][0] - by[x][b][1] for x in (i, j)) >= shared
+                           for b in both)
