@@ -16,20 +16,26 @@ from fieldgauge.llm.common import grams, hashed_words, text_chunks
 
 #: Word tuples by the places of their later words: pairs, triples, and pairs over one or two.
 TUPLES = ((1,), (1, 2), (2,), (3,))
+#: The value of a tuple where a word counts as 1, so that rare tuples don't replace words. This,
+#: ``l1`` and ``epochs`` were chosen on inner folds of op2's training rows at sf0.1.
+TUPLE_VALUE = 0.5
 
 
 def features(data: np.ndarray, offsets: np.ndarray, dimensions: int
              ) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and text numbers of all word n-grams and skip-grams."""
+    """Coordinates and text numbers of all word n-grams and skip-grams; words are in the lower
+    half of the coordinates."""
     words, doc = hashed_words(data, offsets, lower=True, split_marks=True)
     parts = [(words, doc), *(grams(words, doc, gaps) for gaps in TUPLES)]
-    mask = np.uint64(dimensions - 1)
-    return (np.concatenate([h & mask for h, _ in parts]).astype(np.int64),
+    half = np.uint64(dimensions // 2)
+    hashes = [(h & (half - np.uint64(1))) + (half if i else np.uint64(0))
+              for i, (h, _) in enumerate(parts)]
+    return (np.concatenate(hashes).astype(np.int64),
             np.concatenate([d for _, d in parts]))
 
 
 class Ftrl:
-    """FTRL-proximal for 0/1 features."""
+    """FTRL-proximal for features that are 0, or 1 or a given value."""
 
     def __init__(self, dimensions: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.7,
                  l2: float = 0.1):
@@ -42,10 +48,11 @@ class Ftrl:
         free = np.sign(z) * np.maximum(np.abs(z) - l1, 0)
         return -free / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
 
-    def learn(self, at: np.ndarray, label: int) -> None:
+    def learn(self, at: np.ndarray, label: int, value: np.ndarray | float = 1.0) -> None:
+        value = np.append(np.broadcast_to(value, at.shape), 1.0)
         at = np.append(at, len(self.z) - 1)
         w = self._weights(at)
-        gradient = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        gradient = (1 / (1 + np.exp(-np.clip((w * value).sum(), -35, 35))) - label) * value
         step = (np.sqrt(self.n[at] + gradient ** 2) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += gradient - step * w
         self.n[at] += gradient ** 2
@@ -70,13 +77,31 @@ def sampled(labels: DataFrame, label: str, bound: int, seen: Column, id_col: str
     return picks[0].unionByName(picks[1]).select(F.col(id_col).alias("of"), "label")
 
 
+def scale(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make logits of rows not learnt from fit their labels (Platt's
+    targets, Newton steps); (1, 0) if a label has under five rows or the slope isn't positive."""
+    n = np.bincount(label, minlength=2)
+    if n.min() < 5:
+        return 1.0, 0.0
+    target = np.where(label == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    x, at = np.stack([logit, np.ones(len(logit))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -35, 35)))
+        curve = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, x.T @ (weight * (p - target)))
+        at = at - np.clip(step, -1, 1)
+    return (float(at[0]), float(at[1])) if at[0] > 0 and np.isfinite(at).all() else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, seen: Column, id_col: str = "doc_id",
-        text_col: str = "text", dimensions: int = 1 << 20, bound: int = 4000, epochs: int = 4, l1: float = 4.0
+        text_col: str = "text", dimensions: int = 1 << 20, bound: int = 4000, epochs: int = 8, l1: float = 10.0
         ) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and intercept, learnt from at most ``bound`` texts of each label.
 
     ``seen`` says which rows of ``labels`` may be learnt from. The intercept is corrected for
-    the classes' unequal shares of the sample. Without both labels every weight is zero.
+    the classes' unequal shares of the sample; slope and shift of the logits are fitted to the
+    third of the sample that a first model has not learnt from. Without both labels every
+    weight is zero.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,19 +128,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, seen: Column, id_col: st
     )
     label_of = rows["label"].to_numpy()
     share = labels.where(seen).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    model = Ftrl(dimensions, l1=l1)
     if len(set(label_of.tolist())) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), float(
             np.log(((share or 0) + 1e-3) / (1 - (share or 0) + 1e-3)))
     at = rows["at"].combine_chunks()
     bounds, flat = at.offsets.to_numpy(), at.values.to_numpy()
     order = np.lexsort((label_of, rows["draw"].to_numpy()))
-    for _ in range(epochs):
-        for i in order:
-            model.learn(flat[bounds[i]:bounds[i + 1]], int(label_of[i]))
-    weights, intercept = model.weights()
     drawn = label_of.mean()
-    intercept += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
+    prior = np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
+
+    def texts(rows):
+        for i in rows:
+            held = flat[bounds[i]:bounds[i + 1]]
+            yield i, held, np.where(held < dimensions // 2, 1.0, TUPLE_VALUE)
+
+    def learnt(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        model = Ftrl(dimensions, l1=l1)
+        for _ in range(epochs):
+            for i, held, value in texts(rows):
+                model.learn(held, int(label_of[i]), value)
+        weights, intercept = model.weights()
+        weights[dimensions // 2:] *= TUPLE_VALUE
+        return weights, float(intercept + prior)
+
+    # By places in each label's own order, so that both thirds hold both labels.
+    place = np.empty(len(order), np.int64)
+    for c in (0, 1):
+        rows_of = order[label_of[order] == c]
+        place[rows_of] = np.arange(len(rows_of))
+    inner = place % 3 == 0
+    weights, intercept = learnt(order[~inner[order]])
+    left_out = order[inner[order]]
+    logit = np.array([weights[held].sum(dtype=float) + intercept
+                      for _, held, _ in texts(left_out)])
+    each = np.where(label_of[left_out] == 1, share / drawn, (1 - share) / (1 - drawn))
+    slope, shift = scale(logit, label_of[left_out], each)
+    weights, intercept = learnt(order)
+    weights, intercept = (weights * slope).astype(np.float32), intercept * slope + shift
     used = np.flatnonzero(weights)
     return used, weights[used], float(intercept)
 

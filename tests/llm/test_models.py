@@ -30,6 +30,14 @@ def test_toxicity_held_out(spark):
     assert sum(toxic) / len(toxic) > 0.6 and sum(clean) / len(clean) < 0.01
 
 
+def test_toxicity_held_out_recall(spark):
+    rows = outcome(spark, "op2_toxicity", "toxic")
+    toxic = [p for y, p in rows if y == 1]
+    clean = [p for y, p in rows if y == 0]
+    print("held out:", sum(toxic), len(toxic), sum(clean), len(clean))
+    assert sum(toxic) / len(toxic) > 0.75 and sum(clean) / len(clean) < 0.01
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = q.queries()["op7_language"](spark, SF).where("held_out").join(docs, "doc_id").collect()
