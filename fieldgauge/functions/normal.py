@@ -22,8 +22,13 @@ def _from_innermost(terms: int, start: Column, step) -> Column:
                        lambda inner, k: step(inner, k.cast("double")))
 
 
-def upper_tail(x: Column) -> Column:
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def upper_tail(x: Column | str) -> Column:
     """P(Z > x) for a standard normal Z."""
+    x = _column(x)
     size = F.abs(x).cast("double")
     density = F.exp(-size * size / 2.0) / math.sqrt(2.0 * math.pi)
     # 1/2 - density * (a + a^3/3 + a^5/(3*5) + ...)
@@ -37,18 +42,18 @@ def upper_tail(x: Column) -> Column:
     return F.when(x < 0, 1.0 - tail).otherwise(tail)
 
 
-def chi_square_1_tail(value: Column) -> Column:
+def chi_square_1_tail(value: Column | str) -> Column:
     """P(X > value) for a chi-square X with one degree of freedom."""
-    return 2.0 * upper_tail(F.sqrt(value))
+    return 2.0 * upper_tail(F.sqrt(_column(value)))
 
 
 def two_sided_critical(alpha: float) -> float:
     return NormalDist().inv_cdf(1.0 - alpha / 2.0)
 
 
-def two_sided_power(delta: Column, alpha: float) -> Column:
+def two_sided_power(delta: Column | str, alpha: float) -> Column:
     """Power of a two-sided z-test whose statistic is shifted by ``delta``."""
-    z = two_sided_critical(alpha)
+    z, delta = two_sided_critical(alpha), _column(delta)
     return upper_tail(F.lit(z) - delta) + upper_tail(F.lit(z) + delta)
 
 

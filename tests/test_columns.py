@@ -99,4 +99,5 @@ def test_normal_tail(spark):
     assert one(spark, normal.upper_tail("x"), x=F.lit(None).cast("double")) is None
     shift = normal.shift_for_power(0.05, 0.8)
     assert shift == pytest.approx(2.80158, abs=1e-5)
-    assert one(spark, normal.two_sided_power(F.col("x"), 0.05), x=shift) == pytest.approx(0.8)
+    assert one(spark, normal.two_sided_power("x", 0.05), x=shift) == pytest.approx(0.8)
+    assert one(spark, normal.chi_square_1_tail("x"), x=3.841458820694124) == pytest.approx(0.05)
