@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldgauge.llm import domain_rules, language, mixing, near_dedup, packing, quality, topk, \
-    toxicity, wavelet, wordpiece
+from fieldgauge.llm import alignment, domain_rules, hard_negatives, language, mixing, near_dedup, \
+    packing, quality, simhash, topk, toxicity, wavelet, wordpiece
 from fieldgauge.llm.common import in_fold
 from fieldgauge.session import prepare, scratch_path
 
@@ -133,3 +133,55 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 1024 tokens."""
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every document's tokens line up between two tokenizers."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hardest negatives below each positive of every 100th vector."""
+    label = F.col("label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = hard_negatives.labelled(
+        table(spark, sf_dir, "embeddings").withColumn("label", shifted), "vec_id", "label",
+        "embedding", 256)
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+_SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label,
+         CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negative AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id,
+         s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                            ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> s.own
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score,
+       negative_score
+FROM negative WHERE rank <= 5
+"""

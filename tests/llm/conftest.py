@@ -44,7 +44,8 @@ def tables(spark, awkward, tmp_path_factory):
     vectors = [(0, [0.5, -0.25]), (50, [0.5, 0.5]), (51, None), (None, [1.0, 1.0]),
                (52, [1.0, None]), (53, [float("nan"), 1.0]), (54, [0.5, 0.5]), (55, []),
                (100, [float("inf"), 0.0]), (56, [0.001, -0.001]), (57, [0.5, 0.5, 0.5])]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>") \
+    labelled = [(*v, None if i == 4 else i % 2) for i, v in enumerate(vectors)]
+    spark.createDataFrame(labelled, "vec_id long, embedding array<float>, label int") \
         .write.parquet(f"{folder}/embeddings.parquet")
     return folder
 

@@ -11,7 +11,8 @@ from fieldgauge.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
 ROWS_PER_DOCUMENT = ["op1_quality", "op2_toxicity", "op3_near_duplicates", "op4_domain_rules",
-                     "op5_wavelet_shards", "op7_language", "op8_token_counts", "op10_mixing"]
+                     "op5_wavelet_shards", "op7_language", "op8_token_counts", "op10_mixing",
+                     "op11_alignment", "op12_simhash"]
 
 
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
