@@ -18,7 +18,7 @@ from fieldgauge.operators import decision, experiment as x, features as ft, metr
     ordered, quality
 from fieldgauge.plans import churn, documents, experiment as xp, forecast, marketplace as m
 from fieldgauge.session import prepare, scratch_path
-from fieldgauge.sources import readers, writers
+from fieldgauge.sources import checked, readers, writers
 from fieldgauge.streaming import monitor, scoring
 
 # Limits fitting the driver tables.
@@ -856,6 +856,89 @@ def whitespace_scan(spark, d):
                                     F.max("s_2").alias("s_2"))
 
 
+@query
+def reviews_scan(spark, d):
+    """Review files whose comments hold line breaks and quotes, read by many tasks."""
+    path = scratch_path(spark, "reviews")
+    docs = b.table(spark, d, "documents")
+    created = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"),
+                              F.lit("2024-01-01").cast("timestamp"))
+    docs.select(
+        F.concat(F.lit("r"), "doc_id").alias("review_id"), F.col("doc_id").alias("order_id"),
+        (F.col("doc_id") % 5 + 1).alias("review_score"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit('say "'), "source", F.lit('"\nto all')))
+        .alias("review_comment_title"), F.col("text").alias("review_comment_message"),
+        F.date_format(created, "yyyy-MM-dd HH:mm:ss").alias("review_creation_date"),
+        F.when(F.col("doc_id") % 7 != 0, F.date_format(created, "yyyy-MM-dd HH:mm:ss"))
+        .alias("review_answer_timestamp")
+    ).write.options(header="true", escape='"').csv(path)
+    rows, rejects = checked.load_csv_checked(spark, path, readers.MARKETPLACE_SCHEMAS["reviews"])
+    found = rows.groupBy("review_score").agg(
+        F.count(F.lit(1)).alias("reviews"), F.count("review_comment_title").alias("titled"),
+        F.sum(F.length("review_comment_title")).alias("title_chars"),
+        F.sum(F.length("review_comment_message")).alias("message_chars"),
+        F.count("review_answer_timestamp").alias("answered"),
+        F.max("review_creation_date").alias("newest"))
+    return found.unionByName(rejects.groupBy().agg(F.count(F.lit(1)).alias("reviews"))
+                             .where("reviews > 0"), allowMissingColumns=True)
+
+
+def _damaged_readings(spark, d):
+    """Readings as lines of fields, some short, some with a bad number or time."""
+    e = F.col("event_id")
+    value = F.when(e % 11 == 0, "n/a").otherwise(F.col("value").cast(b.MONEY).cast("string"))
+    ts = F.when(e % 13 == 0, F.lit("2024-02-30T25:00:00")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return b.table(spark, d, "events").select(
+        e.cast("string").alias("event_id"), ts.alias("ts"),
+        F.when(e % 17 != 0, value).alias("value"))
+
+
+def _outcome_of_load(loaded):
+    rows = loaded.rows.select(F.lit("loaded").alias("reason"), "event_id", "ts", "value")
+    rejects = loaded.rejects.select(
+        "reason", F.regexp_extract("record", r"^\s*(\d+)", 1).cast("long").alias("event_id"),
+        F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast(b.MONEY).alias("value"))
+    return rows.unionByName(rejects).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("event_id").alias("ids"),
+        F.max("ts").alias("newest"), F.sum("value").alias("total"))
+
+
+@query
+def csv_rejects(spark, d):
+    """What becomes of every record of damaged CSV files: loaded, or rejected for a reason."""
+    path = scratch_path(spark, "damaged-csv")
+    readings = _damaged_readings(spark, d)
+    # A record without its last field has one separator less.
+    readings.select(F.concat_ws(",", "event_id", "ts", "value").alias("event_id,ts,value")) \
+        .write.options(header="true", sep="\u0001").csv(path)
+    return _outcome_of_load(checked.load_csv_checked(
+        spark, path, f"event_id long, ts timestamp, value {b.MONEY}"))
+
+
+@query
+def whitespace_rejects(spark, d):
+    """The same for lines of fields separated by blanks."""
+    path = scratch_path(spark, "damaged-text")
+    _damaged_readings(spark, d).select(F.concat(
+        F.lit("  "), F.concat_ws("   ", "event_id", "ts", "value"))).write.text(path)
+    return _outcome_of_load(checked.load_whitespace_checked(
+        spark, path, {"event_id": "long", "ts": "timestamp", "value": b.MONEY}))
+
+
+@query
+def positional_truth(spark, d):
+    """A file of one value per unit, keyed by its line, beside the units' last cycles."""
+    path = scratch_path(spark, "truth")
+    lives = b.engine_series(spark, d).groupBy("unit").agg(F.max("cycle").alias("life"))
+    # The format is one file in unit order; it holds one line per unit.
+    lives.repartition(1).sortWithinPartitions("unit").select(
+        F.format_string("%d  ", "life")).write.text(path)
+    truth = readers.load_positional(spark, path, "life", "line", "long")
+    units = ordered.row_position(lives, [], ["unit"], out="line")
+    return units.select("unit", "line").join(truth, "line").select("unit", "line", "life")
+
+
 @query
 def report_text(spark, d):
     money = F.col("o_totalprice").cast(b.MONEY)

@@ -676,6 +676,33 @@ SQL["whitespace_scan"] = f"""
 WITH {SERIES}
 SELECT unit, count(*) AS n, {dbl('sum(CAST(s_1 AS DECIMAL(18,2)))')} AS s_1, max(s_2) AS s_2
 FROM series GROUP BY unit"""
+SQL["reviews_scan"] = """
+WITH r AS (
+  SELECT doc_id % 5 + 1 AS review_score, text,
+         CASE WHEN doc_id % 3 <> 0 THEN 'say "' || source || '"' || chr(10) || 'to all' END AS title,
+         TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS created, doc_id % 7 <> 0 AS answered
+  FROM documents)
+SELECT review_score, count(*) AS reviews, count(title) AS titled,
+       CAST(sum(length(title)) AS BIGINT) AS title_chars,
+       CAST(sum(length(text)) AS BIGINT) AS message_chars,
+       CAST(sum(CASE WHEN answered THEN 1 ELSE 0 END) AS BIGINT) AS answered,
+       strftime(max(created), '%Y-%m-%d %H:%M:%S') AS newest
+FROM r GROUP BY review_score"""
+for _name in ("csv_rejects", "whitespace_rejects"):
+    SQL[_name] = f"""
+WITH j AS (
+  SELECT event_id, ts, CAST(value AS DECIMAL(18,2)) AS value,
+         CASE WHEN event_id % 17 = 0 THEN 'not 3 fields' WHEN event_id % 13 = 0
+              THEN 'ts: not timestamp' WHEN event_id % 11 = 0
+              THEN 'value: not decimal(18,2)' ELSE 'loaded' END AS reason
+  FROM events)
+SELECT reason, count(*) AS records, {big('sum(event_id)')} AS ids,
+       strftime(max(CASE WHEN reason = 'loaded' THEN ts END), '%Y-%m-%d %H:%M:%S') AS newest,
+       {dbl("sum(CASE WHEN reason = 'loaded' THEN value END)")} AS total
+FROM j GROUP BY reason"""
+SQL["positional_truth"] = """
+WITH lives AS (SELECT user_id AS unit, count(*) AS life FROM events GROUP BY user_id)
+SELECT unit, row_number() OVER (ORDER BY unit) AS line, life FROM lives"""
 SQL["report_text"] = f"""
 SELECT o_orderkey, {dbl('round(CAST(o_totalprice AS DECIMAL(18,2)), 1)')} AS half_up,
        round_even({dbl('round(CAST(o_totalprice AS DECIMAL(18,2)), 1)')}, 0) AS half_even,

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fieldgauge.operators.quality import require_columns
+from fieldgauge.sources.checked import load_csv_checked
+from fieldgauge.sources.lines import numbered_lines
 
 # Column names and types of the input files.
 MARKETPLACE_SCHEMAS = {
@@ -54,8 +56,7 @@ def load_csv(spark: SparkSession, path: str, schema: str | T.StructType, *,
              required: Sequence[str] = (), **options: str) -> DataFrame:
     """A headed CSV. Columns are matched by position, and the header is checked against them.
 
-    Pass ``multiLine="true"`` only for files with line breaks inside fields: such a file is
-    read by a single task.
+    Files with line breaks inside fields need ``checked.load_csv_checked``, which splits them.
     """
     settings = {"escape": '"', "enforceSchema": "false", **options}
     df = spark.read.options(header="true", **settings).schema(schema).csv(path)
@@ -67,8 +68,9 @@ def register_marketplace(spark: SparkSession, paths: Mapping[str, str],
     """Load the named marketplace tables and register each as a temporary view."""
     tables = {}
     for name, path in paths.items():
-        breaks = {"multiLine": str(name in FREE_TEXT_TABLES).lower()}
-        tables[name] = load_csv(spark, path, MARKETPLACE_SCHEMAS[name], **{**breaks, **options})
+        schema = MARKETPLACE_SCHEMAS[name]
+        tables[name] = (load_csv_checked(spark, path, schema).rows if name in FREE_TEXT_TABLES
+                        else load_csv(spark, path, schema, **options))
         tables[name].createOrReplaceTempView(name)
     return tables
 
@@ -84,15 +86,15 @@ def load_whitespace(spark: SparkSession, path: str,
 
 def load_positional(spark: SparkSession, path: str, value: str = "RUL",
                     key: str = "unit_nr", kind: str = "int") -> DataFrame:
-    """One value per line; the line number, from 1, is the key.
+    """One value per line; the line number, from 1, is the key. Blank lines have a number but
+    no row.
 
-    Line numbers only mean something inside one file. Prefer a file with an explicit key.
+    Line numbers only mean something inside one file, so several files are refused. Prefer a
+    file with an explicit key.
     """
-    lines = spark.sparkContext.textFile(path).zipWithIndex()
-    schema = T.StructType([T.StructField("value", T.StringType()),
-                           T.StructField("index", T.LongType())])
-    return spark.createDataFrame(lines, schema).select(
-        (F.col("index") + 1).cast("int").alias(key), F.trim("value").cast(kind).alias(value))
+    lines = numbered_lines(spark, path, one_file=True).where(F.trim("value") != "")
+    return lines.select(F.col("line").cast("int").alias(key),
+                        F.trim("value").cast(kind).alias(value))
 
 
 def load_dimension(spark: SparkSession, path: str,
