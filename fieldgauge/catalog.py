@@ -19,7 +19,7 @@ from fieldgauge.operators import decision, experiment as x, features as ft, metr
 from fieldgauge.plans import churn, documents, experiment as xp, forecast, marketplace as m
 from fieldgauge.session import prepare, scratch_path
 from fieldgauge.sources import checked, readers, writers
-from fieldgauge.streaming import monitor, scoring
+from fieldgauge.streaming import ledger, monitor, scoring
 
 # Limits fitting the driver tables.
 CAP = 50
@@ -699,7 +699,7 @@ def request_outcomes(spark, d):
     """What becomes of every request of a stream."""
     model, *_ = _forecast(spark, d)
     folder = scratch_path(spark, "requests")
-    _requests(spark, d).coalesce(1).write.parquet(folder)
+    _requests(spark, d).write.parquet(folder)
     job = scoring.ScoringJob(model, "1", scratch_path(spark, "scoring"), "unit", "cycle", SENSORS,
                              request="request")
     job.run(monitor.table_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema))
@@ -755,8 +755,8 @@ def _trend(spark, d, **window):
     stream = monitor.with_event_time(_event_stream(spark, d)).withColumn(
         "value", F.col("value").cast(b.MONEY))
     monitor.run_update(monitor.trend_stream(stream, "value", ["event_type"], **window), path,
-                       scratch_path(spark, "trend-checkpoint"))
-    return monitor.read_latest(spark, path, ["window_start", "window_end", "event_type"])
+                       scratch_path(spark, "trend-checkpoint"), ["window_start", "event_type"])
+    return monitor.read_latest(spark, path)
 
 
 @query
@@ -771,8 +771,8 @@ def sliding_trend(spark, d):
 
 def _updates(spark, stream, keys):
     path = scratch_path(spark, "updates")
-    monitor.run_update(stream, path, scratch_path(spark, "updates-checkpoint"))
-    return monitor.read_latest(spark, path, keys)
+    monitor.run_update(stream, path, scratch_path(spark, "updates-checkpoint"), keys)
+    return monitor.read_latest(spark, path)
 
 
 @query
@@ -789,23 +789,40 @@ def step_counter(spark, d):
 
 @query
 def stream_buffer(spark, d):
-    path = scratch_path(spark, "buffer")
-    buffered = monitor.buffer_stream(_reading_stream(spark, d), "device", ["ts", "event_id"],
-                                     spread="event_id")
-    monitor.run_update(buffered, path, scratch_path(spark, "buffer-checkpoint"))
-    return monitor.read_buffer(spark, path, "device", ["ts", "event_id"]).select(
-        "device", "event_id", "health", "torque", "temperature")
+    buffered = monitor.buffer_stream(_reading_stream(spark, d), "device", ["ts", "event_id"])
+    return _updates(spark, buffered, ["device"]).select("device", "event_id", "health", "torque",
+                                                        "temperature")
 
 
 @query
 def equipment_board(spark, d):
-    folder = scratch_path(spark, "monitor")
-    for running in monitor.start_monitor(
-            _reading_stream(spark, d), folder, key="device", order=["ts", "event_id"],
-            spread="event_id", sensors=["temperature", "torque"]):
+    folder, sensors = scratch_path(spark, "monitor"), ["temperature", "torque"]
+    readings = monitor.with_event_time(b.device_readings(_event_stream(spark, d)))
+    for running in monitor.start_monitor(readings, folder, key="device",
+                                         order=["ts", "event_id"], sensors=sensors):
         running.awaitTermination()
-    return monitor.board(spark, folder, "device").select(
-        "device", "event_id", "status", "steps", "tool_wear", "failures", "warnings")
+    return monitor.board(spark, folder, "device", sensors).select(
+        "device", "event_id", "status", "steps", "tool_wear", "failures", "warnings",
+        (F.col("received_at") > F.col("ts")).alias("received"),
+        F.round("trend_temperature", 6).alias("trend_temperature"), "trend_torque")
+
+
+@query
+def late_ledger(spark, d):
+    """Four batches of events: what each type's windows count, and what came too late."""
+    job = ledger.TrendLedger(scratch_path(spark, "ledger"), "value", ["event_type"],
+                             delay="10 days")
+    events = b.table(spark, d, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        F.col("value").cast(b.MONEY).alias("value"))
+    for number in range(4):
+        job.process(events.where(F.col("event_id") % 4 == number), number)
+    counted = job.trend(spark).groupBy("event_type").agg(
+        F.sum("rows").alias("counted"), F.count(F.lit(1)).alias("windows"),
+        F.max("n").alias("most"))
+    late = job.late(spark).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("late"), F.sum("value").alias("late_value"))
+    return counted.join(late, "event_type", "full")
 
 
 @query

@@ -640,9 +640,13 @@ SQL["equipment_board"] = f"""
 WITH {READING}, s AS (SELECT *, {STATUS_RULE} AS status FROM reading),
 total AS (SELECT device, count(*) AS steps, count(*) * 1.5::DOUBLE AS tool_wear,
                  count(*) FILTER (status = 'FAILURE IMMINENT') AS failures,
-                 count(*) FILTER (status = 'WARNING') AS warnings FROM s GROUP BY device)
-SELECT device, event_id, status, steps, tool_wear, failures, warnings
-FROM s JOIN total USING (device)
+                 count(*) FILTER (status = 'WARNING') AS warnings FROM s GROUP BY device),
+hours AS (SELECT device, {mean('temperature')} AS temperature, {mean('torque')} AS torque
+          FROM s GROUP BY device, date_trunc('hour', ts)
+          QUALIFY row_number() OVER (PARTITION BY device ORDER BY date_trunc('hour', ts) DESC) = 1)
+SELECT device, event_id, status, steps, tool_wear, failures, warnings, true AS received,
+       round(h.temperature, 6) AS trend_temperature, h.torque AS trend_torque
+FROM s JOIN total USING (device) JOIN hours h USING (device)
 QUALIFY row_number() OVER (PARTITION BY device ORDER BY ts DESC, event_id DESC) = 1"""
 SQL["buffer_append"] = """
 SELECT user_id AS device, event_id FROM events
@@ -661,6 +665,19 @@ WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01')
 SELECT {_stamp.format('s')} AS window_start, {_stamp.format('s + INTERVAL 1 DAY')} AS window_end,
        event_type, count(*) AS n, {mean('v')} AS mean_value
 FROM w GROUP BY s, event_type"""
+SQL["late_ledger"] = f"""
+WITH e AS (SELECT event_id % 4 AS batch, ts, event_type, CAST(value AS DECIMAL(18,2)) AS value,
+                  date_trunc('day', ts) AS day FROM events),
+newest AS (SELECT batch, max(ts) AS ts FROM e GROUP BY batch),
+mark AS (SELECT b.batch, max(n.ts) - INTERVAL 10 DAY AS mark
+         FROM newest b LEFT JOIN newest n ON n.batch < b.batch GROUP BY b.batch),
+j AS (SELECT e.*, mark IS NOT NULL AND ts < mark AS late FROM e JOIN mark USING (batch)),
+w AS (SELECT event_type, day, count(*) AS n FROM j WHERE NOT late GROUP BY event_type, day),
+c AS (SELECT event_type, {big('sum(n)')} AS counted, count(*) AS windows, max(n) AS most
+      FROM w GROUP BY event_type),
+l AS (SELECT event_type, count(*) AS late, {dbl('sum(value)')} AS late_value
+      FROM j WHERE late GROUP BY event_type)
+SELECT event_type, counted, windows, most, late, late_value FROM c FULL JOIN l USING (event_type)"""
 SQL["step_counter"] = """
 SELECT user_id AS device, count(*) AS steps, count(*) * 1.5::DOUBLE AS tool_wear
 FROM events GROUP BY user_id"""

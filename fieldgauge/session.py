@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Lists in the state of a stream.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Rows may hold whole texts: smaller batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

@@ -6,16 +6,18 @@ out of windows, while statuses and alerts are given for every reading.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from fieldgauge.functions import columns as fx
-from fieldgauge.operators.ordered import last_n_rows, last_row
+from fieldgauge.operators.ordered import last_n_rows
+from fieldgauge.streaming.current import CurrentTable
 
 WATERMARK = "1 hour"
 BUFFER_ROWS = 20
@@ -93,43 +95,66 @@ def distinct_readings(readings: DataFrame, keys: Sequence[str], *, ts: str = "ts
 
 # --- keyed state ---------------------------------------------------------
 
-def _pack(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+class _LastRows(StatefulProcessor):
+    """The last rows of a device, as a list in the state store."""
 
+    def __init__(self, schema: T.StructType, order: Sequence[str], n: int, idle_ms: int | None):
+        self.schema, self.order, self.n, self.idle_ms = schema, list(order), n, idle_ms
 
-def _unpack(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", self.schema, ttlDurationMs=self.idle_ms)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = self.schema.fieldNames()
+        held = pd.DataFrame(list(self.rows.get()), columns=columns)
+        frames = [f[columns] for f in rows]
+        held = pd.concat([held.astype(frames[0].dtypes.to_dict()), *frames]
+                         if len(held) else frames, ignore_index=True)
+        held = held.sort_values(self.order, kind="stable").tail(self.n)
+        values = held.astype(object).where(held.notna(), None)
+        self.rows.put([tuple(_plain(v) for v in r) for r in values.itertuples(index=False)])
+        yield held
 
-def buffer_stream(readings: DataFrame, key: str, order: Sequence[str], *,
-                  spread: str, n: int = BUFFER_ROWS, parts: int = 8) -> DataFrame:
-    """The last ``n`` readings of each device and part, for update mode.
+    def close(self) -> None:
+        pass
 
-    A device is spread over ``parts`` by the hash of the ``spread`` column, so that a busy
-    one is handled by several tasks; every part holds at most ``n`` rows. ``read_buffer``
-    merges the parts.
-    """
-    columns = readings.columns
-    out = T.StructType([*readings.schema.fields, T.StructField("part", T.IntegerType())])
-    salted = readings.withColumn(
-        "part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
 
-    def keep_last(group: tuple, frames: Iterator[pd.DataFrame],
-                  state: GroupState) -> Iterator[pd.DataFrame]:
-        held = _unpack(state.get[0]) if state.exists else None
-        for frame in frames:
-            fresh = frame[columns]
-            held = fresh if held is None else pd.concat([held, fresh], ignore_index=True)
-            held = held.sort_values(list(order), kind="stable").tail(n)
-        state.update((_pack(held),))
-        yield held.assign(part=group[1])
+def _plain(value):
+    """A value of a frame as the Python value that the state store takes."""
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if hasattr(value, "item") else value
+
 
-    return salted.groupBy(key, "part").applyInPandasWithState(
-        keep_last, out, "rows binary", "update", GroupStateTimeout.NoTimeout)
+def buffer_stream(readings: DataFrame, key: str, order: Sequence[str], *, n: int = BUFFER_ROWS,
+                  idle_ms: int | None = None) -> DataFrame:
+    """The last ``n`` readings of each device, for update mode: all of them whenever one is new.
+
+    Every task first cuts its part of the batch to ``n`` rows per device, so a device that sends
+    most rows brings few of them to its state. The state is a list of ``n`` rows per device in
+    RocksDB; with ``idle_ms``, devices that send nothing for that long are forgotten.
+    """
+    columns, schema = readings.columns, readings.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            rows = rows.sort_by([(c, "ascending") for c in (key, *order)])
+            # The place of a row before the end of its device's run.
+            keys = rows[key].combine_chunks()
+            ends = np.flatnonzero(pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True)
+                                  .to_numpy(zero_copy_only=False)) + 1
+            bounds = np.concatenate([[0], ends, [len(rows)]])
+            runs = np.diff(bounds)
+            left = np.repeat(bounds[1:], runs) - np.arange(len(rows))
+            held = rows.filter(pa.array(left <= n)).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return readings.mapInArrow(cut, schema).select(*columns).groupBy(key) \
+        .transformWithStateInPandas(_LastRows(schema, order, n, idle_ms), schema, "Update",
+                                    "ProcessingTime" if idle_ms else "None")
 
 
 # --- sinks ---------------------------------------------------------------
@@ -141,16 +166,12 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, **trigger) -> St
             .trigger(**(trigger or AVAILABLE_NOW)).start())
 
 
-def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer for update mode. A batch that is run again replaces its own rows."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-    return write
-
-
-def start_update(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the changed rows of each batch; by default, process what is there and stop."""
-    return (stream.writeStream.outputMode("update").foreachBatch(versioned_sink(path))
+def start_update(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str],
+                 buckets: int = 16, **trigger) -> StreamingQuery:
+    """Merge the changed rows of each batch into a table of the newest rows of every key; by
+    default, process what is there and stop."""
+    return (stream.writeStream.outputMode("update")
+            .foreachBatch(CurrentTable(path, keys, buckets).merge)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or AVAILABLE_NOW)).start())
 
@@ -159,22 +180,14 @@ def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
     start_append(stream, path, checkpoint).awaitTermination()
 
 
-def run_update(stream: DataFrame, path: str, checkpoint: str) -> None:
-    start_update(stream, path, checkpoint).awaitTermination()
-
-
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest version of each key written by ``run_update``."""
-    return last_row(spark.read.parquet(path), keys, [BATCH]).drop(BATCH)
+def run_update(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str],
+               buckets: int = 16) -> None:
+    start_update(stream, path, checkpoint, keys, buckets).awaitTermination()
 
 
-def read_buffer(spark: SparkSession, path: str, key: str, order: Sequence[str],
-                n: int = BUFFER_ROWS) -> DataFrame:
-    """The last ``n`` readings of each device from the parts written by ``buffer_stream``."""
-    written = spark.read.parquet(path)
-    newest = written.groupBy(key, "part").agg(F.max(BATCH).alias(BATCH))
-    current = written.join(newest, [key, "part", BATCH], "left_semi")
-    return last_n_rows(current.drop("part", BATCH), [key], order, n)
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest rows of each key written by ``run_update``."""
+    return CurrentTable(path, []).read(spark)
 
 
 def append_readings(buffer: DataFrame, fresh: DataFrame, key: str, order: Sequence[str],
@@ -191,7 +204,7 @@ def closed_before(newest: Column, watermark: str = WATERMARK) -> Column:
 # --- the whole monitor -----------------------------------------------------
 
 def start_monitor(readings: DataFrame, folder: str, *, key: str, order: Sequence[str],
-                  spread: str, sensors: Sequence[str], length: str = "1 hour",
+                  sensors: Sequence[str], length: str = "1 hour",
                   limits: dict | None = None, **trigger) -> list[StreamingQuery]:
     """Alerts, newest reading, step counter, last readings and sensor trends, side by side.
 
@@ -202,21 +215,27 @@ def start_monitor(readings: DataFrame, folder: str, *, key: str, order: Sequence
         return f"{folder}/{name}", f"{folder}/checkpoints/{name}"
     started = [
         start_append(alerts(readings, **(limits or {})), *place("alerts"), **trigger),
-        start_update(latest_reading(readings, key, order), *place("latest"), **trigger),
-        start_update(step_counter(readings, key), *place("steps"), **trigger),
-        start_update(buffer_stream(readings, key, order, spread=spread), *place("buffer"),
-                     **trigger)]
+        start_update(latest_reading(readings, key, order), *place("latest"), [key], **trigger),
+        start_update(step_counter(readings, key), *place("steps"), [key], **trigger),
+        start_update(buffer_stream(readings, key, order), *place("buffer"), [key], **trigger)]
     started += [start_update(trend_stream(readings, sensor, [key], length=length),
-                             *place(f"trend_{sensor}"), **trigger) for sensor in sensors]
+                             *place(f"trend_{sensor}"), ["window_start", key], **trigger)
+                for sensor in sensors]
     return started
 
 
-def board(spark: SparkSession, folder: str, key: str, **limits) -> DataFrame:
-    """The current state of every device, from the tables of a running monitor."""
-    newest = with_status(read_latest(spark, f"{folder}/latest", [key]), **limits)
-    steps = read_latest(spark, f"{folder}/steps", [key])
+def board(spark: SparkSession, folder: str, key: str, sensors: Sequence[str] = (),
+          **limits) -> DataFrame:
+    """The current state of every device, from the tables of a running monitor: its newest
+    reading and status, steps, alerts so far, and the mean of each sensor's newest window."""
+    out = with_status(read_latest(spark, f"{folder}/latest"), **limits)
+    steps = read_latest(spark, f"{folder}/steps")
     raised = spark.read.parquet(f"{folder}/alerts").groupBy(key).agg(
         F.count_if(F.col("status") == fx.FAILURE_IMMINENT).alias("failures"),
         F.count_if(F.col("status") == fx.WARNING).alias("warnings"))
-    return newest.join(steps, key).join(raised, key, "left").fillna(
-        0, ["failures", "warnings"])
+    out = out.join(steps, key).join(raised, key, "left").fillna(0, ["failures", "warnings"])
+    for sensor in sensors:
+        newest = read_latest(spark, f"{folder}/trend_{sensor}").groupBy(key).agg(
+            F.max_by("mean_value", "window_start").alias(f"trend_{sensor}"))
+        out = out.join(newest, key, "left")
+    return out

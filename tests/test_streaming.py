@@ -47,8 +47,8 @@ def rows_of(df):
 
 def updated(spark, query, keys):
     path = scratch_path(spark, "updates")
-    monitor.run_update(query, path, scratch_path(spark, "cp"))
-    return monitor.read_latest(spark, path, keys)
+    monitor.run_update(query, path, scratch_path(spark, "cp"), keys)
+    return monitor.read_latest(spark, path)
 
 
 def test_alerts(spark, readings, folder):
@@ -67,11 +67,8 @@ def test_latest_and_steps(spark, readings, folder):
 
 
 def test_buffer_over_several_batches(spark, readings, folder):
-    path = scratch_path(spark, "buffer")
-    monitor.run_update(monitor.buffer_stream(stream(spark, folder), "device",
-                                             ["ts", "event_id"], spread="event_id", parts=3),
-                       path, scratch_path(spark, "cp"))
-    got = monitor.read_buffer(spark, path, "device", ["ts", "event_id"])
+    got = updated(spark, monitor.buffer_stream(stream(spark, folder), "device",
+                                               ["ts", "event_id"]), ["device"])
     want = last_n_rows(readings, ["device"], ["ts", "event_id"], monitor.BUFFER_ROWS)
     assert rows_of(got.select(*readings.columns)) == rows_of(want)
 
@@ -119,10 +116,10 @@ def test_repeated_readings_are_dropped(spark, readings, folder):
 def test_whole_monitor(spark, readings, folder):
     place = scratch_path(spark, "monitor")
     for running in monitor.start_monitor(stream(spark, folder), place, key="device",
-                                         order=["ts", "event_id"], spread="event_id",
+                                         order=["ts", "event_id"],
                                          sensors=["torque"], length="2 hours"):
         running.awaitTermination()
-    board = {r["device"]: r for r in monitor.board(spark, place, "device").collect()}
+    board = {r["device"]: r for r in monitor.board(spark, place, "device", ["torque"]).collect()}
     newest = {r["device"]: r for r in monitor.with_status(
         monitor.latest_reading(readings, "device", ["ts", "event_id"])).collect()}
     assert {d: (r["event_id"], r["status"]) for d, r in board.items()} == {
@@ -130,9 +127,11 @@ def test_whole_monitor(spark, readings, folder):
     assert sum(r["steps"] for r in board.values()) == 900
     assert sum(r["failures"] + r["warnings"] for r in board.values()) == (
         monitor.alerts(readings).count())
-    assert monitor.read_buffer(spark, f"{place}/buffer", "device", ["ts", "event_id"]).count() \
+    assert monitor.read_latest(spark, f"{place}/buffer").count() \
         == last_n_rows(readings, ["device"], ["ts", "event_id"]).count()
-    assert spark.read.parquet(f"{place}/trend_torque").count() > 0
+    hours = monitor.trend(readings, "torque", ["device"], length="2 hours")
+    last = {r["device"]: r["mean_value"] for r in hours.orderBy("window_start").collect()}
+    assert {d: r["trend_torque"] for d, r in board.items()} == last
 
 
 def test_appending_to_a_buffer_equals_one_cut(spark, readings):
