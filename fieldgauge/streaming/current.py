@@ -65,6 +65,30 @@ class CurrentTable:
         found = self._read(spark, commits[-1])
         return spark.createDataFrame([], commits[-1]["schema"]) if found is None else found
 
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _same(self):
+        """Whether a row's keys are those named, whose columns end in two underscores."""
+        return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}__"))
+                                           for k in self.keys])
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(k).alias(f"{k}__") for k in self.keys]).distinct()
+
+    def rows_of(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """The rows that the keys of a batch had before it; only their buckets are read."""
+        spark = batch.sparkSession
+        before = [c for c in self._commits(spark) if c["batch"] < batch_id]
+        if not before:
+            return None
+        touched = {r[0] for r in batch.select(self._bucket()).distinct().collect()}
+        held = self._read(spark, before[-1], touched)
+        if held is None:
+            return None
+        named = self._named(batch)
+        return held.join(named, self._same(), "left_semi")
+
     def merge(self, batch: DataFrame, batch_id: int, note: dict | None = None,
               combine: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """Replace the rows of the batch's keys; with ``combine``, the rows of both the table and
@@ -76,17 +100,15 @@ class CurrentTable:
         before = [c for c in commits if c["batch"] < batch_id]
         base = before[-1] if before else {"slots": {}, "schema": batch._jdf.schema().toDDL(),
                                           "note": {}}
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        bucket = self._bucket()
         batch = batch.persist()
         touched = {r[0] for r in batch.select(bucket).distinct().collect()}
         slots = {int(b): s for b, s in base["slots"].items()}
         new, held = batch, self._read(spark, base, touched & set(slots)) if slots else None
         if held is not None:
             if combine is None:
-                named = batch.select(*[F.col(k).alias(f"{k}__") for k in self.keys]).distinct()
-                same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}__"))
-                                                   for k in self.keys])
-                held = held.join(named, same, "left_anti")
+                named = self._named(batch)
+                held = held.join(named, self._same(), "left_anti")
             new = batch.unionByName(held)
         if combine is not None:
             new = combine(new)

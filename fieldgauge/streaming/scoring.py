@@ -1,8 +1,9 @@
 """Remaining-life scoring of a stream of engine cycles.
 
 Trailing windows are not allowed on a stream, so each micro-batch is scored as a batch
-together with the last rows of its units, which are kept as a table. A unit that sends most
-rows of a batch is then split like in any batch job.
+together with the last rows of its units, which are kept as a table in buckets: only the buckets
+of the batch's units are read and written. A unit that sends most rows of a batch is split like
+in any batch job.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from fieldgauge.functions import columns as fx
 from fieldgauge.operators.features import WINDOW_ROWS, rolling_features
 from fieldgauge.operators.ordered import last_n_rows, last_row
 from fieldgauge.plans.forecast import respond
+from fieldgauge.streaming.current import CurrentTable
 from fieldgauge.streaming.monitor import BATCH
 
 
@@ -83,22 +85,22 @@ class ScoringJob:
     columns: tuple[str, ...]
     horizon: float = fx.FAILURE_HORIZON
     request: str | None = None
+    buckets: int = 64
 
-    def _held(self, batch_id: int) -> str:
-        # Two slots: a repeated batch reads the other slot and replaces its own.
-        return f"{self.folder}/held/slot={batch_id % 2}"
+    def _held(self) -> CurrentTable:
+        """The last rows of every unit; a repeated batch finds them as they were before it."""
+        return CurrentTable(f"{self.folder}/held", [self.unit], self.buckets)
 
     def score_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Answer for every good request of the batch."""
-        spark = batch.sparkSession
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         named = [self.request] if self.request else []
         kept = [*named, self.unit, self.cycle, *self.columns]
         judged = judge_requests(batch.select(*kept), self.columns, unit=self.unit,
                                 cycle=self.cycle, request=self.request)
-        held = None
-        if batch_id > 0:
-            held = spark.read.parquet(self._held(batch_id - 1))
+        known = batch.where(F.col(self.unit).isNotNull())
+        held = self._held().rows_of(known, batch_id)
+        if held is not None:
             seen = held.groupBy(F.col(self.unit).alias("__unit")).agg(
                 F.max(self.cycle).alias("__seen"))
             late = F.col("error").isNull() & (F.col(self.cycle) <= F.col("__seen"))
@@ -119,9 +121,9 @@ class ScoringJob:
                           cycle=self.cycle, version=self.version, horizon=self.horizon,
                           keep=named)
         answers.write.mode("overwrite").parquet(f"{self.folder}/answers/{BATCH}={batch_id}")
-        (last_n_rows(rows.filter(F.col(self.unit).isNotNull()), [self.unit], [self.cycle],
-                     WINDOW_ROWS).drop("fresh", *named)
-         .write.mode("overwrite").parquet(self._held(batch_id)))
+        self._held().merge(
+            last_n_rows(rows.filter(F.col(self.unit).isNotNull()), [self.unit], [self.cycle],
+                        WINDOW_ROWS).drop("fresh", *named), batch_id)
         for frame in (rows, judged, batch):
             frame.unpersist()
 

@@ -88,3 +88,22 @@ def test_ledger_counts_every_row_once(spark):
     assert found == {k: (n, total / n) for k, (n, total) in counted.items()}
     job.process(frame.limit(5), 1)  # an old batch changes nothing
     assert sum(r.rows for r in job.trend(spark).collect()) + len(late) == 1200
+
+
+def test_only_the_buckets_of_a_batch_are_read(spark):
+    """The rows read for a batch of one key don't grow with the number of keys."""
+    read = []
+    for n in (400, 4000):
+        table = CurrentTable(scratch_path(spark, "current"), ["k"], n // 20)
+        table.merge(spark.range(n).select(F.col("id").alias("k"), F.lit("a").alias("part"),
+                                          F.col("id").alias("v")), 0)
+        one = spark.createDataFrame([(7, "a", 0)], SCHEMA)
+        assert [tuple(r) for r in table.rows_of(one, 1).collect()] == [(7, "a", 7)]
+        before = set(files(f"{table.path}/data"))
+        table.merge(one, 1)
+        fresh = [f for f in files(f"{table.path}/data") if f not in before]
+        read.append(spark.read.parquet(*fresh).count())
+        assert table.read(spark).count() == n
+        assert table.rows_of(spark.createDataFrame([(-1, "a", 0)], SCHEMA), 2) is None or \
+            table.rows_of(spark.createDataFrame([(-1, "a", 0)], SCHEMA), 2).isEmpty()
+    assert max(read) < 60
