@@ -12,6 +12,7 @@ triangle inequality says which further pairs can matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldgauge.llm.bagminhash import band_keys, signatures
 from fieldgauge.llm.common import grams, hashed_words, stored, text_chunks
+from fieldgauge.llm.components import components
 
 #: Pairs per member up to which the components left in a bucket are compared pair by pair.
 CROSS = 32
@@ -162,39 +164,19 @@ def rare_shingles(texts: DataFrame, size: int, limit: float) -> DataFrame:
         rare, "id long, bucket long, total long, at long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): every linked id with the least id it is connected to.
-
-    Large-star and small-star steps in turn: a node's neighbours are tied to its least one.
-    Each step is a grouped minimum and a join, so a node with very many links is split like any
-    hot key; a written table ends the lineage of each step.
-    """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                   .where("u <> v").distinct(), "dedup-edges")
-    while not edges.isEmpty():
-        # Large star: every larger neighbour of a node goes to the node's least neighbour.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("of"), F.least("u", "m").alias("m"))
-        large = (both.join(least, both["u"] == least["of"]).where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                 .distinct())
-        large = stored(large, "dedup-large")
-        # Small star: every smaller neighbour of a node, and the node, go to the least one.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
-        small = (large.join(low, large["u"] == low["of"])
-                 .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                                           F.struct(F.col("u").alias("u"),
-                                                    F.col("m").alias("v")))).alias("e"))
-                 .select("e.u", "e.v").where("u <> v").distinct())
-        small = stored(small, "dedup-small")
-        # Stars only: every node has one tie, and no centre has a tie of its own.
-        counts = small.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-        edges = small
-        centres = small.select(F.col("v").alias("u")).distinct()
-        if counts[0] == counts[1] and small.join(centres, "u", "left_semi").isEmpty():
-            break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of all links so far. roots: (id, root) of earlier links, without the roots
+    themselves; links: a, b. Only ties between different components are searched."""
+    ties = links.select("a", "b")
+    for side in ("a", "b"):
+        ties = _rooted(ties, roots, side, f"root_{side}")
+    found = stored(components(ties.where("root_a <> root_b").select(
+        F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "dedup"),
+        "dedup-found-roots")
+    moved = roots.join(found.select(F.col("id").alias("old"), F.col("root").alias("new")),
+                       F.col("root") == F.col("old"), "left") \
+        .select("id", F.coalesce("new", "root").alias("root"))
+    return stored(moved.unionByName(found), "dedup-roots")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, key: str = "id", out: str = "root"
@@ -220,15 +202,16 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
     the sizes and the place of the shingle allow a link. What remains is a text x outside the
     first member's links and a text y inside them: by the triangle inequality of the distance
     they can be linked only if x is within twice the allowed distance, and y far enough out; if
-    x has not been connected otherwise, these pairs are compared as well. So of two texts that
+    x has not been connected otherwise, those of these pairs that share a rare shingle are
+    compared as well. So of two texts that
     share a band, no link that connects two classes is lost.
     """
     spark = keyed.sparkSession
     limit = threshold - 1e-12
     pairs_seen = spark.createDataFrame([], "a long, b long, alike double")
     rings = spark.createDataFrame([], "id long, first long, alike double")
-    linked = rings
-    roots = texts = None
+    linked, roots, fresh = rings, spark.createDataFrame([], "id long, root long"), []
+    texts = None
     none = F.lit(None).cast("long")
     groups = keyed.select("id", F.explode("keys").alias("bucket"), none.alias("total"),
                           none.alias("at"))
@@ -237,7 +220,16 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
         nonlocal pairs_seen
         new = stored(pairs.distinct().join(pairs_seen, ["a", "b"], "left_anti"), "dedup-pairs")
         if not new.isEmpty():
-            pairs_seen = pairs_seen.unionByName(stored(compared(new, texts, size), "dedup-found"))
+            found = stored(compared(new, texts, size), "dedup-found")
+            pairs_seen = pairs_seen.unionByName(found)
+            fresh.append(found.where(F.col("alike") >= limit))
+
+    def join_roots() -> None:
+        nonlocal roots
+        links = [f for f in fresh if not f.isEmpty()]
+        fresh.clear()
+        if links:
+            roots = joined_roots(roots, reduce(DataFrame.unionByName, links))
 
     while True:
         # Buckets with one member are gone; the others get their size and a first member: the
@@ -264,7 +256,7 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
         others = members.where("id <> first")
         compare(others.select(F.least("first", "id").alias("a"), F.greatest("first", "id")
                               .alias("b")))
-        roots = components(pairs_seen.where(F.col("alike") >= limit))
+        join_roots()
         judged = stored(
             others.withColumn("a", F.least("first", "id")).withColumn("b", F.greatest("first", "id"))
             .join(pairs_seen, ["a", "b"]).drop("a", "b"), "dedup-judged")
@@ -312,20 +304,30 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
         groups = stored(groups, "dedup-groups")
     if texts is None:
         return pairs_seen.select("a", "b"), spark.createDataFrame([], "id long, root long")
-    roots = components(pairs_seen.where(F.col("alike") >= limit))
-    outer = _rooted(_rooted(rings.distinct(), roots), roots, "first", "first_root") \
-        .where("root <> first_root") \
-        .select(F.col("id").alias("x"), "first", F.col("alike").alias("alike_x"))
-    inner = linked.distinct().select(F.col("id").alias("y"), "first",
-                                     F.col("alike").alias("alike_y"))
-    before = pairs_seen
-    compare(outer.join(inner, "first")
-            .where(F.col("alike_y") <= F.col("alike_x") + (1 - limit))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    links = pairs_seen.where(F.col("alike") >= limit)
-    if before is not pairs_seen:
-        roots = components(links)
-    return links.select("a", "b"), roots
+    join_roots()
+    outer = stored(
+        _rooted(_rooted(rings.distinct(), roots), roots, "first", "first_root")
+        .where("root <> first_root")
+        .select(F.col("id").alias("x"), "first", F.col("alike").alias("alike_x")), "dedup-outer")
+    if not outer.isEmpty():
+        inner = linked.distinct().join(outer.select("first").distinct(), "first", "left_semi") \
+            .select(F.col("id").alias("y"), "first", F.col("alike").alias("alike_y"))
+        # Two linked texts share one of the shingles that come first in both.
+        wanted = outer.select(F.col("x").alias("id")).unionByName(
+            inner.select(F.col("y").alias("id"))).distinct()
+        rare = stored(rare_shingles(texts.join(wanted, "id", "left_semi"), size, limit),
+                      "dedup-rare")
+        sides = [side.join(rare.select(F.col("id").alias(name), "bucket",
+                                       F.col("total").alias(f"total_{name}"),
+                                       F.col("at").alias(f"at_{name}")), name)
+                 for side, name in ((outer, "x"), (inner, "y"))]
+        most = F.least(F.col("total_x") - F.col("at_x"), F.col("total_y") - F.col("at_y"))
+        compare(sides[0].join(sides[1], ["first", "bucket"])
+                .where(F.col("alike_y") <= F.col("alike_x") + (1 - limit))
+                .where(most * (1 + limit) >= (F.col("total_x") + F.col("total_y")) * limit)
+                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        join_roots()
+    return pairs_seen.where(F.col("alike") >= limit).select("a", "b"), roots
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
