@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from fieldgauge.llm.common import grams, hashed_words, text_chunks
+from fieldgauge.llm.common import grams, hashed_words, stored, text_chunks
 
 #: Word tuples by the places of their later words: pairs, triples, and pairs over one or two.
 TUPLES = ((1,), (1, 2), (2,), (3,))
@@ -94,11 +94,12 @@ def scale(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, seen: Column, id_col: str = "doc_id",
-        text_col: str = "text", dimensions: int = 1 << 20, bound: int = 4000, epochs: int = 8, l1: float = 10.0
-        ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coordinates, weights and intercept, learnt from at most ``bound`` texts of each label.
+        text_col: str = "text", dimensions: int = 1 << 20, bound: int = 4000, epochs: int = 8,
+        l1: float = 10.0, most_bytes: int = 1 << 28) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coordinates, weights and intercept, learnt from at most ``bound`` texts of each label,
+    fewer if their coordinates take more than ``most_bytes`` on the driver.
 
-    ``seen`` says which rows of ``labels`` may be learnt from. The intercept is corrected for
+    An id gives one text, the least of those it stands on. ``seen`` says which rows of ``labels`` may be learnt from. The intercept is corrected for
     the classes' unequal shares of the sample; slope and shift of the logits are fitted to the
     third of the sample that a first model has not learnt from. Without both labels every
     weight is zero.
@@ -110,45 +111,65 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, seen: Column, id_col: st
                 pairs = np.unique(doc * dimensions + at)
                 bounds = np.searchsorted(pairs, np.arange(end - first + 1) * dimensions)
                 coordinates = (pairs % dimensions).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                             pa.array(coordinates)),
-                    batch.column(1)[first:end], batch.column(2)[first:end]],
-                    names=["at", "label", "draw"])
+                held = [coordinates[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held, pa.binary()), batch.column(1)[first:end],
+                     batch.column(2)[first:end]], names=["at", "label", "draw"])
 
     # The sample has at most 2 * bound rows of a few bytes.
     picked = F.broadcast(sampled(labels, label, bound, seen, id_col))
-    rows = (
+    rows = stored(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(picked, F.col("id") == F.col("of"))
+        .groupBy("of", "label").agg(F.min("text").alias("text"))
         .select("text", F.col("label").cast("long").alias("label"),
                 F.xxhash64(F.lit("order"), "of").alias("draw"))
-        .mapInArrow(encode, "at array<int>, label long, draw long")
-        .toArrow()
-    )
-    label_of = rows["label"].to_numpy()
+        .mapInArrow(encode, "at binary, label long, draw long"), "toxicity-sample")
+    # Which rows fit is decided from their sizes; then one file's rows at a time come over, so
+    # the driver holds the coordinates once.
+    sizes = rows.select("label", "draw", F.octet_length("at").alias("size")) \
+        .orderBy("label", "draw", "size").toArrow().to_pydict()
+    room, fits = {}, set()
+    for c, draw, n in zip(sizes["label"], sizes["draw"], sizes["size"]):
+        room[c] = room.get(c, most_bytes // 2) - n
+        if room[c] >= 0:
+            fits.add((c, draw))
+    held_rows, label_list, draws = [], [], []
+    for r in rows.toLocalIterator():
+        if (r["label"], r["draw"]) in fits:
+            held_rows.append(np.frombuffer(r["at"], np.int32))
+            label_list.append(r["label"])
+            draws.append(r["draw"])
+    label_of, draws = np.array(label_list, np.int64), np.array(draws, np.int64)
     share = labels.where(seen).agg(F.avg(F.col(label).cast("double"))).first()[0]
     if len(set(label_of.tolist())) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), float(
             np.log(((share or 0) + 1e-3) / (1 - (share or 0) + 1e-3)))
-    at = rows["at"].combine_chunks()
-    bounds, flat = at.offsets.to_numpy(), at.values.to_numpy()
-    order = np.lexsort((label_of, rows["draw"].to_numpy()))
+    # Models are as long as the coordinates that occur.
+    occurs = np.zeros(dimensions, bool)
+    for held in held_rows:
+        occurs[held] = True
+    present = np.flatnonzero(occurs)
+    place_of = np.cumsum(occurs, dtype=np.int32) - 1
+    for i, held in enumerate(held_rows):
+        held_rows[i] = place_of[held]
+    words = int(np.searchsorted(present, dimensions // 2))
+    order = np.lexsort((label_of, draws))
     drawn = label_of.mean()
     prior = np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
 
     def texts(rows):
         for i in rows:
-            held = flat[bounds[i]:bounds[i + 1]]
-            yield i, held, np.where(held < dimensions // 2, 1.0, TUPLE_VALUE)
+            held = held_rows[i]
+            yield i, held, np.where(held < words, 1.0, TUPLE_VALUE)
 
     def learnt(rows: np.ndarray) -> tuple[np.ndarray, float]:
-        model = Ftrl(dimensions, l1=l1)
+        model = Ftrl(len(present), l1=l1)
         for _ in range(epochs):
             for i, held, value in texts(rows):
                 model.learn(held, int(label_of[i]), value)
         weights, intercept = model.weights()
-        weights[dimensions // 2:] *= TUPLE_VALUE
+        weights[words:] *= TUPLE_VALUE
         return weights, float(intercept + prior)
 
     # By places in each label's own order, so that both thirds hold both labels.
@@ -166,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, seen: Column, id_col: st
     weights, intercept = learnt(order)
     weights, intercept = (weights * slope).astype(np.float32), intercept * slope + shift
     used = np.flatnonzero(weights)
-    return used, weights[used], float(intercept)
+    return present[used], weights[used], float(intercept)
 
 
 class Scorer:
