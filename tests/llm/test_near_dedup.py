@@ -1,5 +1,6 @@
 """Signatures against exact similarity, classes against brute force."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -168,3 +169,24 @@ def test_rare_shingles_of_links_meet(spark, families, threshold):
                 shared = sum((bags[i] & bags[j]).values())
                 assert any(min(by[x][b][0] - by[x][b][1] for x in (i, j)) >= shared
                            for b in both)
+
+
+def test_rings_form_no_product(spark, monkeypatch):
+    """Texts just outside a family are not compared with every member of it."""
+    n, draw, compared, across = 60, random.Random(12), near_dedup.compared, []
+
+    def counted(pairs, *rest):
+        across.append(pairs.where(f"a BETWEEN 1 AND {n} AND b > {n}").count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "compared", counted)
+    base = [f"w{draw.randrange(10 ** 6)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2 * n + 1):
+        tail = int(300 * (0.08 if i <= n else 0.14))
+        rows.append((i, " ".join(base[:-tail] + [f"x{draw.randrange(10 ** 9)}"
+                                                 for _ in range(tail)])))
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = {r.doc_id: r.class_id for r in found.collect()}
+    assert all((classes[i] == 0) == (i <= n) for i in classes)
+    assert sum(across) < 4 * len(rows)  # the product would be 30 per row
