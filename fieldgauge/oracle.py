@@ -145,8 +145,18 @@ t AS (
   WHERE {DONE} AND delivered IS NOT NULL
   GROUP BY state HAVING count(DISTINCT o.order_id) >= 150)
 SELECT *, {TAG} FROM t"""
-SQL["top_states"] = (SQL["state_performance"].replace(">= 150", ">= 0")
-                     + " ORDER BY revenue DESC, state LIMIT 3")
+SQL["top_states"] = f"""
+WITH {ORD}, {ITEM}, {REV}, {STATE},
+t AS (
+  SELECT state, {dbl('sum(price + freight)')} AS revenue,
+         count(DISTINCT o.order_id) AS order_count,
+         {mean("date_diff('day', purchased, delivered)")} AS avg_delivery_days,
+         {mean('score')} AS avg_review_score
+  FROM ord o JOIN item i ON o.order_id = i.order_id JOIN cust USING (customer_id)
+  LEFT JOIN rev r ON o.order_id = r.order_id
+  WHERE {DONE} AND delivered IS NOT NULL
+  GROUP BY state)
+SELECT *, {TAG} FROM t ORDER BY revenue DESC, state LIMIT 3"""
 SQL["state_performance_dedup"] = f"""
 WITH {ORD}, {ITEM}, {REV}, {STATE},
 sums AS (SELECT order_id, sum(price + freight) AS amount FROM item GROUP BY order_id),
