@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgauge import bindings as b
 from fieldgauge.functions import columns as fx
-from fieldgauge.operators import decision, experiment as x, features as ft, metrics, models, \
-    ordered, quality
+from fieldgauge.operators import clusters, decision, experiment as x, features as ft, metrics, \
+    models, ordered, quality, sketches, trees
 from fieldgauge.plans import churn, documents, experiment as xp, forecast, marketplace as m
 from fieldgauge.session import prepare, scratch_path
 from fieldgauge.sources import checked, readers, writers
@@ -167,6 +167,40 @@ def late_effect(spark, d):
     return m.late_effect(b.orders(spark, d), b.reviews(spark, d), delivered=b.DELIVERED)
 
 
+@query
+def customers_by_period(spark, d):
+    """Distinct customers per month, year, priority and in all, from stored sketches of (month,
+    priority): exact counts, and whether the estimate lies within four standard errors."""
+    keys = {"month": ["month", "priority"], "year": ["year", "priority"], "priority": ["priority"],
+            "all": []}
+    placed = b.table(spark, d, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        F.date_format("o_orderdate", "yyyy").alias("year"),
+        F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"))
+    path = scratch_path(spark, "customer-sketches")
+    sketches.store(sketches.distinct_sketches(placed, "customer", ["month", "priority"]), path,
+                   "month")
+    stored = sketches.load(spark, path, "month").withColumn("year", F.substring("month", 1, 4))
+
+    def labelled(df, level, by, *measures):
+        period = F.col(level) if level in ("month", "year") else F.lit(None).cast("string")
+        priority = F.col("priority") if "priority" in by else F.lit(None).cast("string")
+        return df.select(F.lit(level).alias("level"), period.alias("period"),
+                         priority.alias("priority"), *measures)
+    parts = []
+    for level, by in keys.items():
+        exact = labelled(placed.groupBy(*by).agg(F.count_distinct("customer").alias("customers")),
+                         level, by, "customers")
+        guess = labelled(sketches.estimated(sketches.merged(stored, by), "guess"), level, by,
+                         F.col("rows").alias("orders"), "guess")
+        same = [exact[c].eqNullSafe(guess[c]) for c in ("level", "period", "priority")]
+        bound = 4 * sketches.standard_error() * F.col("customers") + 1
+        parts.append(exact.join(guess, same, "full").select(
+            exact["level"], exact["period"], exact["priority"], "orders", "customers",
+            (F.abs(F.col("guess") - F.col("customers")) <= bound).alias("within")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # --- experiment ----------------------------------------------------------
 
 DESIGN = x.Design(order=("ts", "event_id"))
@@ -482,6 +516,27 @@ def segment_certificate(spark, d):
                       F.count_if(own > nearest + 1e-6).alias("misplaced"))
 
 
+@query
+def kmeans_restarts(spark, d):
+    """Customers clustered from all starts in shared scans: how far the reported cost is from the
+    one summed over the assigned customers, and starts that end below the chosen one."""
+    numbers = ("tenure", "num_services", "monthly")
+    names = [f"{c}_std" for c in numbers]
+    scaled = models.standardise(b.subjects(spark, d), numbers).select("customer", *names).persist()
+    best = clusters.kmeans_restarts(scaled, names, key=F.col("customer"), k=models.CLUSTERS,
+                                    restarts=models.RESTARTS, seed=models.SEED)
+    placed = clusters.assigned(scaled, names, best, "segment")
+    own = F.lit(0.0)
+    for i, n in enumerate(names):
+        centre = F.get(F.array(*[F.lit(c[i]) for c in best.centres]), F.col("segment"))
+        own = own + (F.col(n) - centre) * (F.col(n) - centre)
+    return placed.agg(
+        F.count("segment").alias("customers"), F.count_distinct("segment").alias("segments"),
+        F.lit(len(best.costs)).cast("long").alias("starts"),
+        F.lit(sum(c < best.cost for c in best.costs)).cast("long").alias("lower_starts"),
+        F.round(F.abs(F.sum(own) / best.cost - 1), 6).alias("cost_gap"))
+
+
 def _model_subjects(spark, d):
     return (_labelled_subjects(spark, d)
             .withColumn("total_charges", fx.blank_to_zero("total_text"))
@@ -633,6 +688,67 @@ def forecast_model(spark, d):
                                  "rate double, trees long, importance_total double")
 
 
+@query
+def forecast_nodes(spark, d):
+    """The stored model read as a table of nodes: rows at the roots, splits whose children miss
+    rows, nodes out of reach, and how far importances from nodes are from the model's own."""
+    model, *_ = _forecast(spark, d)
+    features = ft.feature_columns(SENSORS)
+    path = _MADE[spark.sparkContext.applicationId, d, "forecast"]
+    nodes = trees.with_weighted_rows(trees.node_table(spark, f"{path}/model/stages/*"),
+                                     classes=False)
+    own = spark.createDataFrame(
+        list(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True)),
+        "feature string, own double")
+    gap = trees.importances(nodes, features, per_tree=False).join(own, "feature").agg(
+        F.round(F.max(F.abs(F.col("importance") - F.col("own"))), 6)).scalar()
+    depth = model.stages[-1].getMaxDepth()
+    return trees.tree_shapes(nodes).agg(
+        F.count(F.lit(1)).alias("trees"), F.min("root_rows").alias("least_root"),
+        F.max("root_rows").alias("largest_root"), F.sum("broken").alias("broken"),
+        F.sum(F.col("nodes") - F.col("reached")).alias("unreached"),
+        F.count_if(F.col("depth") > depth).alias("too_deep"), gap.alias("importance_gap"))
+
+
+def _validated(spark, d):
+    """A model stopped by its validation units, with its card, and the rows with their side."""
+    def train_and_save(path):
+        table = forecast.training_table(b.engine_series(spark, d), SENSORS, unit="unit",
+                                        cycle="cycle", cap=CAP)
+        table.write.parquet(f"{path}/rows")
+        fitted, _ = forecast.train_validated(spark.read.parquet(f"{path}/rows"), SENSORS,
+                                             unit="unit")
+        booster = fitted.stages[-1]
+        models.save_model(fitted, path, "1", ft.feature_columns(SENSORS), {
+            "trees": booster.getNumTrees, "allowed": booster.getMaxIter(),
+            "depth": booster.getMaxDepth(), "rate": booster.getStepSize()})
+
+    path = made_once(spark, d, "validated", train_and_save)
+    rows = spark.read.parquet(f"{path}/rows").withColumn("side", forecast.unit_sides("unit"))
+    return (*models.load_model(spark, path), rows)
+
+
+@query
+def forecast_validation(spark, d):
+    """Units and rows per side of the validated model, units on two sides, trees in the card past
+    the one of least validation error, and that error against one summed from the answers."""
+    model, card, rows = _validated(spark, d)
+    validation = rows.filter("side = 'validation'")
+    curve = models.error_curve(model, validation).persist()
+    least = curve.agg(F.min_by("trees", F.struct("mse", "trees"))).scalar()
+    last = curve.agg(F.max_by("mse", "trees")).scalar()
+    error = models.predict(model, validation.dropna(subset=card["features"])).agg(
+        F.avg((F.col("predicted_RUL") - F.col("RUL")) * (F.col("predicted_RUL") - F.col("RUL")))
+    ).scalar()
+    units = rows.groupBy("unit").agg(F.count_distinct("side").alias("sides"))
+    shared = units.agg(F.count_if(F.col("sides") > 1)).scalar()
+    return rows.groupBy("side").agg(
+        F.count_distinct("unit").alias("units"), F.count(F.lit(1)).alias("cycles"),
+        shared.alias("shared_units"),
+        (F.lit(card["settings"]["trees"]).cast("long") - least).alias("trees_past_best"),
+        F.round(F.abs(error / last - 1), 6).alias("error_gap"))
+
+
 @query
 def forecast_answers(spark, d):
     """Answers of the stored model on every cycle, and on every unit by batch and stream."""

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -17,8 +15,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldgauge.functions import columns as fx
+from fieldgauge.operators import clusters, selection, trees as nodes
 from fieldgauge.operators.metrics import classification_metrics, roc_auc
-from fieldgauge.operators.ordered import SPLIT_ROWS, broadcast_if_small, row_position
+from fieldgauge.operators.ordered import broadcast_if_small, row_position
 from fieldgauge.session import shared_dir
 
 # Settings of the reports' models.
@@ -61,20 +60,29 @@ def encode_labels(df: DataFrame, columns: Sequence[str], suffix: str = "_code")
     return indexer.fit(df).transform(df)
 
 
-def hash_share(key: str, seed: int = SEED) -> Column:
-    """A number in [0, 1) fixed by the key and the seed, whatever the partitioning."""
+def hash_number(key: str, seed: int = SEED) -> Column:
+    """A whole number below 2^32 fixed by the key and the seed, whatever the partitioning."""
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2 ** 32)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def hash_share(key: str, seed: int = SEED) -> Column:
+    """The same as a number in [0, 1)."""
+    return hash_number(key, seed).cast("double") / float(2 ** 32)
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, *, test_share: float = TEST_SHARE,
                      seed: int = SEED, exact: bool = False,
-                     split_rows: int = SPLIT_ROWS) -> DataFrame:
+                     split_rows: int | None = None) -> DataFrame:
     """Add ``is_test``. The same row always falls on the same side.
 
     By default a cut on the key's hash, which needs no shuffle and meets the share closely in
-    every stratum. ``exact`` ranks the hashes and takes the rounded count per stratum.
+    every stratum. ``exact`` takes the rounded count per stratum, found by counting the digits of
+    the hashes; ``split_rows`` ranks the hashes instead, strata above it in chunks.
     """
+    if exact and split_rows is None:
+        return selection.first_by_hash(df, key, stratum, hash_number(key, seed), test_share,
+                                       out="is_test")
     hashed = df.withColumn("__share", hash_share(key, seed))
     if not exact:
         return hashed.withColumn("is_test", F.col("__share") < test_share).drop("__share")
@@ -114,16 +122,19 @@ def best_kmeans(features: DataFrame, *, k: int = CLUSTERS, restarts: int = RESTA
 def segment_customers(df: DataFrame, columns: Sequence[str], *, k: int = CLUSTERS,
                       restarts: int = RESTARTS, seed: int = SEED,
                       max_iter: int = 300) -> DataFrame:
-    """Add a cluster number from k-means on the standardised columns."""
+    """Add a cluster number from k-means on the standardised columns.
+
+    All restarts share their scans. Rows with a NULL among ``columns`` take no part in the fit
+    and get a NULL segment.
+    """
     scaled = standardise(df, columns)
-    vectors = VectorAssembler(inputCols=[f"{c}_std" for c in columns],
-                              outputCol="__features").transform(scaled)
-    fit_on = vectors.select(F.col("__features").alias("features"))
-    fit_on.persist(StorageLevel.MEMORY_AND_DISK)
-    model = best_kmeans(fit_on, k=k, restarts=restarts, seed=seed, max_iter=max_iter)
+    names = [f"{c}_std" for c in columns]
+    fit_on = scaled.dropna(subset=names).select(
+        *names, F.xxhash64(*df.columns).alias("__key")).persist(StorageLevel.MEMORY_AND_DISK)
+    best = clusters.kmeans_restarts(fit_on, names, key=F.col("__key"), k=k, restarts=restarts,
+                                    seed=seed, max_iter=max_iter)
     fit_on.unpersist()
-    model.setFeaturesCol("__features").setPredictionCol("segment")
-    return model.transform(vectors).select(*df.columns, "segment")
+    return clusters.assigned(scaled, names, best, "segment").select(*df.columns, "segment")
 
 
 def segment_profile(df: DataFrame, segment: str, tenure: str, services: str, charge: str,
@@ -191,7 +202,7 @@ def compare_classifiers(df: DataFrame, key: str, label: str, features: Sequence[
         positive_probability(forest, _assemble(test, features))
         .select(F.lit(FOREST).alias("model"), *columns, "prob")]
     return (parts[0].unionByName(parts[1]).checkpoint(),
-            importance_table(df, forest, features))
+            nodes.importances(nodes.nodes_of(df.sparkSession, forest), features, per_tree=True))
 
 
 def model_metrics(scores: DataFrame, label: str, prob: str = "prob") -> DataFrame:
@@ -211,21 +222,35 @@ def best_model(metrics: DataFrame) -> DataFrame:
 
 def fit_boosted_regressor(train: DataFrame, features: Sequence[str], label: str, *,
                           trees: int = 100, depth: int = 5, rate: float = 0.05,
+                          validation: str | None = None, tolerance: float = 0.0,
                           seed: int = SEED) -> PipelineModel:
     """Gradient-boosted trees behind an assembler, as one model that can be saved.
 
     Rows that miss a sensor teach nothing; the model answers them all the same, with a missing
-    value taken as above every split.
+    value taken as above every split. ``validation`` names a boolean column: its rows fit no tree,
+    and boosting ends with the tree after which their error stops falling (by more than
+    ``tolerance`` of itself), at most after ``trees``.
     """
+    stop = {} if validation is None else {"validationIndicatorCol": validation,
+                                          "validationTol": tolerance}
+    booster = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth,
+                           stepSize=rate, seed=seed, **stop)
     stages = [VectorAssembler(inputCols=list(features), outputCol="features",
-                              handleInvalid="skip"),
-              GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees,
-                           maxDepth=depth, stepSize=rate, seed=seed)]
+                              handleInvalid="skip"), booster]
     model = Pipeline(stages=stages).fit(train)
     model.stages[0].setHandleInvalid("keep")
     return model
 
 
+def error_curve(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Mean squared error on ``rows`` after 1, 2, … trees: one row per tree of the model."""
+    assembler, regressor = model.stages
+    known = rows.dropna(subset=assembler.getInputCols())
+    errors = regressor.evaluateEachIteration(assembler.transform(known), "squared")
+    return rows.sparkSession.createDataFrame(
+        [(i, float(e)) for i, e in enumerate(errors, 1)], "trees int, mse double")
+
+
 def save_model(model: PipelineModel, path: str, version: str, features: Sequence[str],
                settings: dict[str, float]) -> None:
     """Write a fitted model and its card: version, inputs in order, settings."""
@@ -251,18 +276,9 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_RUL") ->
 
 # --- explanation ---------------------------------------------------------
 
-def importance_table(df: DataFrame, model, features: Sequence[str]) -> DataFrame:
-    """Impurity importance per feature."""
-    values = model.featureImportances.toArray().tolist()
-    rows = [(name, float(v)) for name, v in zip(features, values, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
-
-
 def split_counts(df: DataFrame, model, features: Sequence[str]) -> DataFrame:
-    """How often each feature is split on. Reads the model's description, not the data."""
-    nodes = Counter(int(i) for i in re.findall(r"If \(feature (\d+) ", model.toDebugString))
-    rows = [(name, nodes.get(i, 0)) for i, name in enumerate(features)]
-    return df.sparkSession.createDataFrame(rows, "feature string, splits long")
+    """How often each feature is split on. Reads the model's nodes, not the data."""
+    return nodes.split_table(nodes.nodes_of(df.sparkSession, model), features)
 
 
 def top_features(table: DataFrame, n: int = 10) -> DataFrame:

