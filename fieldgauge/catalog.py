@@ -1095,6 +1095,14 @@ def marketplace_document(spark, d):
         undefined_payment=UNDEFINED_PAYMENT, **MARKET)
 
 
+@query
+def marketplace_fields(spark, d):
+    """Every figure of the marketplace document, read back from the written report."""
+    path = scratch_path(spark, "report")
+    writers.write_report(_QUERIES["marketplace_document"](spark, d), path)
+    return readers.document_fields(readers.load_report(spark, path)).drop("report")
+
+
 @query
 def experiment_document(spark, d):
     """The verdict on all visits as one JSON document."""

@@ -765,5 +765,51 @@ SELECT o_orderkey, {dbl('round(CAST(o_totalprice AS DECIMAL(18,2)), 1)')} AS hal
 FROM orders"""
 
 
+# --- documents --------------------------------------------------------------
+
+def section(name: str, rows: str, order: str, **fields: str) -> list[str]:
+    """The fields of one section, a row each; ``fields`` gives an expression per field, with
+    ``text:`` before those that are text."""
+    out = []
+    for field, value in fields.items():
+        is_text = value.startswith("text:")
+        value = value.removeprefix("text:")
+        number, text = ("CAST(NULL AS DOUBLE)", value) if is_text else (dbl(value),
+                                                                        "CAST(NULL AS VARCHAR)")
+        out.append(f"""
+SELECT '{name}' AS section, row_number() OVER (ORDER BY {order}) AS position,
+       '{field}' AS field, {number} AS number, {text} AS text FROM ({rows})""")
+    return out
+
+
+def _to(digits: int, value: str) -> str:
+    return f"round({value}, {digits})"
+
+
+SQL["marketplace_fields"] = " UNION ALL ".join([
+    *section("kpis", SQL["kpis"], "1", total_orders="total_orders",
+             total_revenue=_to(2, "total_revenue"),
+             avg_order_item_value=_to(2, "avg_order_item_value"),
+             avg_review_score=_to(2, "avg_review_score")),
+    *section("monthly_revenue", SQL["monthly_revenue"], "month", month="text:month",
+             revenue=_to(2, "revenue"), orders="orders"),
+    *section("delivery_vs_reviews", SQL["delivery_vs_reviews"],
+             "round(avg_review_score, 2) DESC, delivery_status", status="text:delivery_status",
+             avg_score=_to(2, "avg_review_score"), count="order_count"),
+    *section("late_rate_trend", SQL["late_rate_trend"], "month", month="text:month",
+             late_pct=_to(2, "late_pct")),
+    *section("category_risk", SQL["category_risk"], "round(revenue, 2) DESC, category",
+             category="text:category", revenue=_to(2, "revenue"), orders="order_count",
+             late_pct=_to(2, "late_pct"), avg_score=_to(2, "avg_review_score")),
+    *section("state_performance", SQL["state_performance"], "round(revenue, 2) DESC, state",
+             state="text:state", revenue=_to(2, "revenue"), orders="order_count",
+             avg_delivery_days=_to(1, "avg_delivery_days"),
+             avg_score=_to(2, "avg_review_score")),
+    *section("payment_breakdown", SQL["payment_breakdown"],
+             "round(total_value, 2) DESC, payment_type", type="text:payment_type",
+             count="payments", avg_installments=_to(1, "avg_installments"),
+             total_value=_to(2, "total_value"))])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

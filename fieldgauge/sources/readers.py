@@ -128,3 +128,33 @@ def report_inputs(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         loaded = require_columns(tables[table], list(names), table)
         out[table] = loaded.select(*[F.col(c).alias(n) for c, n in names.items()])
     return out
+
+
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that ``write_report`` wrote."""
+    return spark.read.schema("value string, report string").text(path).select(
+        "report", F.col("value").alias("document"))
+
+
+def document_fields(document: DataFrame) -> DataFrame:
+    """The figures of report documents, one row each: report, section, position, field, number
+    and text.
+
+    ``position`` counts the entries of a section from 1; a section that is one object has a
+    single entry. A JSON number stands in ``number``, text and booleans in ``text``, and a JSON
+    null leaves both NULL. A text that looks like a number stays text. Nested values keep
+    their JSON in ``text``. A section with no entries gives no row, a broken document an error.
+    """
+    sections = document.select("report", F.explode(F.expr(
+        "CAST(parse_json(document) AS MAP<STRING, VARIANT>)")).alias("section", "content"))
+    entries = sections.select("report", "section", F.posexplode(F.expr(
+        "CASE WHEN startswith(schema_of_variant(content), 'ARRAY') "
+        "THEN CAST(content AS ARRAY<VARIANT>) ELSE array(content) END")).alias("at", "entry"))
+    fields = entries.select("report", "section", (F.col("at") + 1).alias("position"), F.explode(
+        F.expr("CAST(entry AS MAP<STRING, VARIANT>)")).alias("field", "value"))
+    kind = F.schema_of_variant("value")
+    numeric = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    return fields.select(
+        "report", "section", "position", "field",
+        F.when(numeric, F.expr("try_variant_get(value, '$', 'double')")).alias("number"),
+        F.when(~numeric, F.expr("try_variant_get(value, '$', 'string')")).alias("text"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldgauge.plans import documents
-from fieldgauge.sources import readers
+from fieldgauge.sources import readers, writers
 
 
 def write(path, header, rows):
@@ -146,3 +146,20 @@ def test_churn_document(spark, tmp_path):
     assert [t["tenure_bucket"] for t in got["churn_by_tenure"]] == [
         "0-12 mo", "13-24 mo", "25-48 mo", "49+ mo"]
     assert sum(c["customer_count"] for c in got["churn_by_contract"]) == 500
+
+
+def test_fields_of_a_document(spark, tmp_path):
+    text = json.dumps({
+        "one": {"n": 3, "x": 2.5, "name": "12", "none": None, "ok": True},
+        "many": [{"a": "b,\"c\"\n"}, {"a": None}, {"a": 1e20}], "empty": [],
+        "deep": {"list": [1, 2]}})
+    document = spark.createDataFrame([("r", text), ("s", "{}")], "report string, document string")
+    writers.write_report(document, str(tmp_path / "r"))
+    got = {tuple(r) for r in readers.document_fields(
+        readers.load_report(spark, str(tmp_path / "r"))).collect()}
+    assert got == {
+        ("r", "one", 1, "n", 3.0, None), ("r", "one", 1, "x", 2.5, None),
+        ("r", "one", 1, "name", None, "12"), ("r", "one", 1, "none", None, None),
+        ("r", "one", 1, "ok", None, "true"), ("r", "many", 1, "a", None, "b,\"c\"\n"),
+        ("r", "many", 2, "a", None, None), ("r", "many", 3, "a", 1e20, None),
+        ("r", "deep", 1, "list", None, "[1,2]")}
