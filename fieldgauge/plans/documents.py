@@ -134,6 +134,7 @@ def churn_document(subjects: DataFrame, *, key: str = "customerID", contract: st
         return F.max(F.when(F.col("rank") == rank, F.col(column)))
     economics = policies.agg(
         F.lit(decision.OFFER_COST).alias("retention_offer_cost"),
+        chosen.agg(F.count(F.lit(1))).scalar().alias("test_set_size"),
         pick(1, "total_cost").alias("no_model_cost"),
         pick(2, "total_cost").alias("default_threshold_cost"),
         F.bround(pick(3, "threshold"), 3).alias("optimal_threshold"),

@@ -142,6 +142,7 @@ def test_churn_document(spark, tmp_path):
     assert len(got["feature_importance"]) == 10 and len(got["threshold_curve"]) == 50
     e = got["cost_optimization"]
     assert e["optimal_cost"] == min(t["cost"] for t in got["threshold_curve"])
+    assert abs(e["test_set_size"] - 500 * 0.25) <= 1
     assert e["savings_vs_no_model"] == pytest.approx(e["no_model_cost"] - e["optimal_cost"])
     assert [t["tenure_bucket"] for t in got["churn_by_tenure"]] == [
         "0-12 mo", "13-24 mo", "25-48 mo", "49+ mo"]
