@@ -3,37 +3,14 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
+from fieldgauge.llm.pieces import PieceTable
+
 #: White space as the tokenizers library sees it, inside a character class; the
 #: four separators 1C to 1F are white space to Python alone.
 GAP, INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-#: A byte-level pre-token never holds white space after another character, so a text can be cut
-#: before each run of white space and the ids joined.
-_PIECE = re.compile(f"{GAP}*{INK}+|{GAP}+")
-#: Marks that end a word are pre-tokens of their own after a letter.
-_MARKS = ".,;:!?"
-#: Distinct pieces kept per worker, about 190 MB.
-CACHE_PIECES = 800_000
-
-
-def cut_at_words(text: str) -> list[str]:
-    """Runs of white space, each with the run of other characters after it."""
-    return _PIECE.findall(text)
-
-
-class _Known(dict):
-    """Ids by piece; a piece that isn't there is noted and stands for no ids."""
-
-    def __init__(self):
-        super().__init__()
-        self.missing: list[str] = []
-
-    def __missing__(self, piece: str) -> bytes:
-        self.missing.append(piece)
-        return b""
 
 
 def default_vocabulary() -> str:
@@ -42,7 +19,8 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts, as little-endian unsigned 32-bit integers, by a byte-level vocabulary
+    with the library's own byte-level pattern."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,7 +34,7 @@ class Encoder:
         for first, shown in ((" ", "Ġ"), ("\n", "Ċ")):
             self._leads[first] = np.zeros(self.size, bool)
             self._leads[first][[i for t, i in vocabulary.items() if t.startswith(shown)]] = True
-        self._known = _Known()
+        self._table = PieceTable(self._plain, self._leads[" "], vocabulary.get("Ċ", -1))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in
@@ -81,37 +59,9 @@ class Encoder:
         out.update(zip(rest, self._plain(rest)))
         return [out[p] for p in pieces]
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, marked, single = self._known, [], set()
-        for piece in pieces:
-            core = piece.rstrip(_MARKS)
-            if core and core != piece and core[-1].isalpha():
-                marked.append((piece, core, piece[len(core):]))
-                single.add(core)
-                single.add(piece[len(core):])
-            else:
-                single.add(piece)
-        wanted = [p for p in single if p not in known]
-        known.update(zip(wanted, self.fresh(wanted)))
-        known.update((piece, known[core] + known[marks]) for piece, core, marks in marked)
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self._known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        cut = [cut_at_words(t) for t in texts]
-        find, out, again = known.__getitem__, [], []
-        for i, pieces in enumerate(cut):
-            before = len(known.missing)
-            out.append(b"".join(map(find, pieces)))
-            if len(known.missing) > before:
-                again.append(i)
-        if again:
-            self._learn(set(known.missing))
-            known.missing.clear()
-            for i in again:
-                out[i] = b"".join(map(find, cut[i]))
-        return out
+        """The ids of every text, from the pieces met before."""
+        return self._table.encode([t.encode() for t in texts])
 
 
 _ENCODERS: dict[str, Encoder] = {}

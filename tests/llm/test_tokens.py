@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldgauge.llm import encoding, packing, queries as q, wavelet, wordpiece
+from fieldgauge.llm import encoding, packing, pieces, queries as q, wavelet, wordpiece
 
 PATH = encoding.default_vocabulary()
 
@@ -26,7 +26,8 @@ def crc(ids):
 def test_encoder_like_the_library(plain):
     draw = np.random.default_rng(2)
     marks = [" ", "  ", "\n", " \n", "\t", " ", "\x1c", " ", "'s", "<|endoftext|>", "a",
-             "é", "中", "9", "!", "b c", "​", "\x85"]
+             "é", "中", "9", "!", "b c", "​", "\x85", "'ll", "\'", "Ж", "×", "́", "\u2003", "\u3000",
+             "\r\n", "word", "\x1f", "²", "a very-long.piece_without" * 3, "\0"]
     texts = ["".join(draw.choice(marks, int(draw.integers(0, 30)))) for _ in range(400)] + [""]
     encoder = encoding.Encoder(PATH)
     for _ in range(2):  # the second time from what is kept
@@ -34,6 +35,19 @@ def test_encoder_like_the_library(plain):
         assert got == [plain(t) for t in texts]
 
 
+def test_piece_table_when_crowded(plain, monkeypatch):
+    """Full slots, two pieces of one hash, and a table that is emptied between blocks."""
+    monkeypatch.setattr(pieces.PieceTable, "SLOT_BITS", 9)
+    monkeypatch.setattr(pieces.PieceTable, "BLOCK", 64)
+    monkeypatch.setattr(pieces, "_hash", lambda low, high, size: low % np.uint64(3) << np.uint64(62))
+    encoder = encoding.Encoder(PATH)
+    encoder._table.most = 100
+    texts = [" ".join(f"w{i * k % 97}" for i in range(150)) + "\nZ" for k in (1, 5, 7, 11)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [
+        plain(t) for t in texts]
+    assert encoder._table.count < 400
+
+
 @pytest.mark.parametrize("folder", ["awkward", "/root/testdata/sf0.001"])
 def test_shards_round_trip(spark, tables, plain, folder):
     folder = tables if folder == "awkward" else folder
@@ -49,7 +63,7 @@ def test_shards_round_trip(spark, tables, plain, folder):
         at += len(ids)
 
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000, 65535, 65536, 70000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 40, n).astype(np.uint32)
     blob = wavelet.WaveletMatrix.build(ids, 6).to_bytes()
@@ -64,6 +78,18 @@ def test_wavelet_matrix(n):
             assert matrix.select(token, np.arange(len(places))).tolist() == places.tolist()
 
 
+def test_few_frames_are_opened():
+    ids = np.random.default_rng(1).integers(0, 50000, 400_000).astype(np.uint32)
+    blob = wavelet.WaveletMatrix.build(ids, 16).to_bytes()
+    matrix = wavelet.WaveletMatrix.from_bytes(blob)
+    assert int(matrix.access(123_456)) == ids[123_456]
+    assert all(p.opened.sum() <= 2 for p in matrix.planes) and len(matrix.planes[0].opened) == 7
+    places = np.flatnonzero(ids == ids[5])
+    assert matrix.select(int(ids[5]), np.arange(len(places))).tolist() == places.tolist()
+    assert matrix.rank(int(ids[5]), 400_000) == len(places)
+    assert (matrix.decode() == ids).all()
+
+
 def test_small_shards_and_counts(spark, tmp_path, plain):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     wavelet.write_shards(docs, str(tmp_path / "s"), shard_tokens=5000)
