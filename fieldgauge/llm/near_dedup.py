@@ -331,11 +331,11 @@ def near_links(docs: DataFrame, keyed: DataFrame, size: int, threshold: float, s
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                 threshold: float = 0.8, bands: int = 64, rows: int = 8, spread: int = 4
-                 ) -> DataFrame:
+                 threshold: float = 0.8, bands: int = 64, rows: int = 8, spread: int = 4,
+                 with_digest: bool = False) -> DataFrame:
     """Per row: id, class_id (the least id of its class), copies_of (the least id with the same
-    text), n_links (links of that text to different texts, of those that were compared) and
-    kept (the row of the class's least id).
+    text), compared_links (links of that text to different texts, of those that were compared)
+    and kept (the row of the class's least id); on demand, digest (MD5 of the text).
 
     Links hold between texts with a weighted Jaccard similarity of at least ``threshold``. Two
     such texts share none of the bands with a probability of (1 - threshold**rows)**bands, 8e-6
@@ -358,18 +358,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links, roots = near_links(named.select("id", "text", text_digest()), keyed, size, threshold,
                               spread)
     degree = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id") \
-        .agg(F.count(F.lit(1)).alias("n_links"))
+        .agg(F.count(F.lit(1)).alias("compared_links"))
     linked = stored(roots.select(F.col("id").alias("text_id"), "root")
                     .join(degree, "text_id", "full"), "dedup-linked")
     classes = (
         marked.select("id", "same").join(same, "same")
         .join(linked, F.col("copies_of") == F.col("text_id"), "left")
         .select("id", "copies_of", F.coalesce("root", "copies_of").alias("class_id"),
-                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                F.coalesce("compared_links", F.lit(0)).cast("long").alias("compared_links"),
+                F.col("same").alias("digest"))
     )
     none = F.lit(None).cast("long")
     nameless = plain.where("id IS NULL").select(
-        "id", none.alias("copies_of"), none.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        "id", none.alias("copies_of"), none.alias("class_id"),
+        F.lit(0).cast("long").alias("compared_links"), text_digest().alias("digest"))
     return classes.unionByName(nameless).select(
-        F.col("id").alias(id_col), "class_id", "copies_of", "n_links",
-        F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+        F.col("id").alias(id_col), "class_id", "copies_of", "compared_links",
+        F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"),
+        *(["digest"] if with_digest else []))

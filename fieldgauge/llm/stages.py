@@ -24,12 +24,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class, that of the least id; rows without id stay."""
+    """One row of each near-duplicate class, that of the least id; rows without id stay.
+
+    Of different texts under one kept id, the one with the least MD5 digest stays; rows that
+    agree in id and text are one document. An empty table gives no rows.
+    """
     prepare(spark)
-    kept = near_dedup.near_classes(docs).where("kept AND doc_id IS NOT NULL") \
-        .select(F.col("doc_id").alias("of"))
+    kept = near_dedup.near_classes(docs, with_digest=True) \
+        .where("kept AND doc_id IS NOT NULL") \
+        .groupBy(F.col("doc_id").alias("of")).agg(F.min("digest").alias("of_text"))
     named = docs.where(F.col("doc_id").isNotNull())
-    return (named.join(kept, named["doc_id"] == kept["of"], "left_semi")
+    digest = F.md5(F.coalesce(named["text"], F.lit("")).cast("binary"))
+    return (named.join(kept, (named["doc_id"] == kept["of"]) & (digest == kept["of_text"]),
+                       "left_semi")
             .dropDuplicates(["doc_id"])
             .unionByName(docs.where(F.col("doc_id").isNull())))
 

@@ -190,3 +190,15 @@ def test_rings_form_no_product(spark, monkeypatch):
     classes = {r.doc_id: r.class_id for r in found.collect()}
     assert all((classes[i] == 0) == (i <= n) for i in classes)
     assert sum(across) < 4 * len(rows)  # the product would be 30 per row
+
+
+def test_stage_keeps_a_defined_text_of_a_repeated_id(spark):
+    from hashlib import md5
+    from fieldgauge.llm import stages
+    x, y, z, w = (" ".join(f"{name}{i}" for i in range(40)) for name in "xyzw")
+    rows = [(3, x), (5, x), (5, y), (6, z), (6, w), (6, w), (7, None), (8, ""), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stays = sorted((r.doc_id, r.text) for r in stages.one_of_each(spark, docs, "").collect()
+                   if r.doc_id is not None)
+    least = min((z, w), key=lambda t: md5(t.encode()).hexdigest())
+    assert stays == [(3, x), (5, y), (6, least), (7, None)]
