@@ -598,10 +598,16 @@ def retention_economics(spark, d):
 
 # --- forecast ------------------------------------------------------------
 
-def _forecast(spark, d):
-    """A stored model, its training rows and the held-out units cut off at 60% of their life."""
+def _series(spark, d):
+    """Units' cycles, numbered once and stored."""
+    path = made_once(spark, d, "series", lambda p: b.engine_series(spark, d).write.parquet(p))
+    return spark.read.parquet(path)
+
+
+def _trained(spark, d):
+    """The folder of a stored model and its training rows."""
     def train_and_save(path):
-        forecast.training_table(b.engine_series(spark, d), SENSORS, unit="unit", cycle="cycle",
+        forecast.training_table(_series(spark, d), SENSORS, unit="unit", cycle="cycle",
                                 cap=CAP).write.parquet(f"{path}/rows")
         fitted, _ = forecast.train_baseline(spark.read.parquet(f"{path}/rows"), SENSORS,
                                             unit="unit")
@@ -610,12 +616,18 @@ def _forecast(spark, d):
             "trees": regressor.getMaxIter(), "depth": regressor.getMaxDepth(),
             "rate": regressor.getStepSize()})
 
-    path = made_once(spark, d, "forecast", train_and_save)
-    model, _ = models.load_model(spark, path)
-    table = spark.read.parquet(f"{path}/rows")
+    return made_once(spark, d, "forecast", train_and_save)
+
+
+def _model(spark, d):
+    return models.load_model(spark, _trained(spark, d))[0]
+
+
+def _forecast(spark, d):
+    """A stored model, its training rows and the held-out units cut off at 60% of their life."""
+    model, table = _model(spark, d), spark.read.parquet(f"{_trained(spark, d)}/rows")
     _, validation = models.split_by_unit(table, "unit")
-    series = b.engine_series(spark, d)
-    train, held_out = models.split_by_unit(series, "unit")
+    _, held_out = models.split_by_unit(_series(spark, d), "unit")
     lives = ordered.with_group_max(held_out, ["unit"], "cycle", "life")
     observed = lives.filter(F.col("cycle") <= F.ceil(F.col("life") * 0.6))
     truth = ordered.last_row(observed, ["unit"], ["cycle"]).select(
@@ -645,31 +657,28 @@ def rul_scores(spark, d):
 
 @query
 def rul_trajectory(spark, d):
-    model, table, *_ = _forecast(spark, d)
-    return models.predict(model, table).select("unit", "cycle", "RUL", "predicted_RUL")
+    table = spark.read.parquet(f"{_trained(spark, d)}/rows")
+    return models.predict(_model(spark, d), table).select("unit", "cycle", "RUL", "predicted_RUL")
 
 
 @query
 def rul_split_counts(spark, d):
-    model, *_ = _forecast(spark, d)
-    table = models.split_counts(b.readings(spark, d), model.stages[-1],
+    table = models.split_counts(b.readings(spark, d), _model(spark, d).stages[-1],
                                 ft.feature_columns(SENSORS))
     return models.top_features(table)
 
 
 @query
 def rul_score_batch(spark, d):
-    model, *_ = _forecast(spark, d)
-    return forecast.service_response(model, b.engine_series(spark, d), SENSORS, unit="unit",
+    return forecast.service_response(_model(spark, d), _series(spark, d), SENSORS, unit="unit",
                                      cycle="cycle", version="1")
 
 
 @query
 def rul_score_stream(spark, d):
-    model, *_ = _forecast(spark, d)
-    series = scratch_path(spark, "series")
-    b.engine_series(spark, d).write.parquet(series)
-    stream = monitor.table_stream(spark, series, "*.parquet", spark.read.parquet(series).schema)
+    model, series = _model(spark, d), _series(spark, d)
+    folder = _MADE[spark.sparkContext.applicationId, d, "series"]
+    stream = monitor.table_stream(spark, folder, "*.parquet", series.schema)
     job = scoring.ScoringJob(model, "1", scratch_path(spark, "scoring"), "unit", "cycle", SENSORS)
     job.run(stream)
     return job.latest_answers(spark)
@@ -678,8 +687,7 @@ def rul_score_stream(spark, d):
 @query
 def forecast_model(spark, d):
     """The stored model's card and size."""
-    _forecast(spark, d)
-    model, card = models.load_model(spark, _MADE[spark.sparkContext.applicationId, d, "forecast"])
+    model, card = models.load_model(spark, _trained(spark, d))
     regressor = model.stages[-1]
     row = (card["version"], len(card["features"]), card["settings"]["depth"],
            card["settings"]["rate"], regressor.getNumTrees,
@@ -692,9 +700,8 @@ def forecast_model(spark, d):
 def forecast_nodes(spark, d):
     """The stored model read as a table of nodes: rows at the roots, splits whose children miss
     rows, nodes out of reach, and how far importances from nodes are from the model's own."""
-    model, *_ = _forecast(spark, d)
+    model, path = _model(spark, d), _trained(spark, d)
     features = ft.feature_columns(SENSORS)
-    path = _MADE[spark.sparkContext.applicationId, d, "forecast"]
     nodes = trees.with_weighted_rows(trees.node_table(spark, f"{path}/model/stages/*"),
                                      classes=False)
     own = spark.createDataFrame(
@@ -713,7 +720,7 @@ def forecast_nodes(spark, d):
 def _validated(spark, d):
     """A model stopped by its validation units, with its card, and the rows with their side."""
     def train_and_save(path):
-        table = forecast.training_table(b.engine_series(spark, d), SENSORS, unit="unit",
+        table = forecast.training_table(_series(spark, d), SENSORS, unit="unit",
                                         cycle="cycle", cap=CAP)
         table.write.parquet(f"{path}/rows")
         fitted, _ = forecast.train_validated(spark.read.parquet(f"{path}/rows"), SENSORS,
@@ -813,7 +820,7 @@ def _outcomes(answers, rejects):
 @query
 def request_outcomes(spark, d):
     """What becomes of every request of a stream."""
-    model, *_ = _forecast(spark, d)
+    model = _model(spark, d)
     folder = scratch_path(spark, "requests")
     _requests(spark, d).write.parquet(folder)
     job = scoring.ScoringJob(model, "1", scratch_path(spark, "scoring"), "unit", "cycle", SENSORS,
@@ -825,9 +832,8 @@ def request_outcomes(spark, d):
 @query
 def request_outcomes_batch(spark, d):
     """The same of a table of requests."""
-    model, *_ = _forecast(spark, d)
     return _outcomes(*scoring.score_requests(
-        model, _requests(spark, d), SENSORS, unit="unit", cycle="cycle", version="1",
+        _model(spark, d), _requests(spark, d), SENSORS, unit="unit", cycle="cycle", version="1",
         request="request"))
 
 

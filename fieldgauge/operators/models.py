@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -24,6 +25,8 @@ from fieldgauge.session import shared_dir
 SEED = 42
 CLUSTERS, RESTARTS = 4, 10
 TEST_SHARE = 0.25
+#: Rows of one task while a model is fitted; MLlib keeps them as objects.
+FIT_ROWS = 4_000_000
 LOGISTIC, FOREST = "logistic_regression", "random_forest"
 
 
@@ -110,6 +113,20 @@ def _assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df.select(*doubles))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a fit, spread evenly over the session's cores if they lie in more partitions.
+
+    MLlib reads them once per tree level or step, and from every partition sends statistics as
+    long as the model to as many partitions. So their number follows from the cores, with at most
+    ``FIT_ROWS`` rows in one, and not from the files that the rows come from.
+    """
+    cores, lie_in = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    if lie_in <= cores:
+        return rows
+    wanted = cores * max(1, math.ceil(rows.count() / (cores * FIT_ROWS)))
+    return rows.repartition(wanted) if wanted < lie_in else rows
+
+
 # --- segments ------------------------------------------------------------
 
 def best_kmeans(features: DataFrame, *, k: int = CLUSTERS, restarts: int = RESTARTS,
@@ -184,7 +201,7 @@ def compare_classifiers(df: DataFrame, key: str, label: str, features: Sequence[
     shared_dir(df.sparkSession)
     split = stratified_split(df.select(key, label, *keep, *features), key, label,
                              seed=seed, exact=True).checkpoint()
-    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
+    train, test = dealt(split.filter(~F.col("is_test"))), split.filter("is_test")
     scaling = scaling_of(train, features)
     scaled = [f"{c}_std" for c in features]
 
@@ -237,7 +254,8 @@ def fit_boosted_regressor(train: DataFrame, features: Sequence[str], label: str,
                            stepSize=rate, seed=seed, **stop)
     stages = [VectorAssembler(inputCols=list(features), outputCol="features",
                               handleInvalid="skip"), booster]
-    model = Pipeline(stages=stages).fit(train)
+    used = [*features, label, *([] if validation is None else [validation])]
+    model = Pipeline(stages=stages).fit(dealt(train.select(*used)))
     model.stages[0].setHandleInvalid("keep")
     return model
 

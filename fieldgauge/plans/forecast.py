@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators import features as ft, metrics, models
-from fieldgauge.operators.ordered import last_row
+from fieldgauge.operators.ordered import last_n_rows, last_row
 
 VALIDATION_SHARE = 0.2
 SCORE_COLUMNS = ("RUL", "predicted_RUL", "failure_probability", "actual_failure_soon")
@@ -58,8 +58,10 @@ def train_validated(table: DataFrame, columns: Sequence[str], *, unit: str, labe
 
 def last_cycles(series: DataFrame, columns: Sequence[str], *, unit: str,
                 cycle: str) -> DataFrame:
-    """Features at the last observed cycle of every unit."""
-    return last_row(ft.rolling_features(series, columns, unit=unit, cycle=cycle),
+    """Features at the last observed cycle of every unit; earlier rows than its window needs are
+    cut before the shuffle."""
+    window = last_n_rows(series, [unit], [cycle], ft.WINDOW_ROWS)
+    return last_row(ft.rolling_features(window, columns, unit=unit, cycle=cycle),
                     [unit], [cycle])
 
 

@@ -144,3 +144,21 @@ def test_melt(spark, engines):
     got = ft.melt(engines.filter("unit = 0"), ["cycle"], ["s_1", "s_2"])
     assert got.columns == ["cycle", "variable", "value"]
     assert got.count() == 2 * engines.filter("unit = 0").count()
+
+
+def test_fits_deal_rows_over_the_cores(spark, engines):
+    cores = spark.sparkContext.defaultParallelism
+    many = engines.repartition(5 * cores)
+    dealt = models.dealt(many)
+    assert dealt.rdd.getNumPartitions() == cores
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, engines.collect()))
+    few = engines.coalesce(2)
+    assert models.dealt(few) is few
+
+
+def test_last_cycles_cut_rows_before_the_shuffle(spark, engines):
+    last = forecast.last_cycles(engines, ["s_1"], unit="unit", cycle="cycle")
+    assert "WindowGroupLimit" in last._jdf.queryExecution().executedPlan().toString()
+    whole = ordered.last_row(ft.rolling_features(engines, ["s_1"], unit="unit", cycle="cycle"),
+                             ["unit"], ["cycle"])
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, whole.collect()))
