@@ -236,3 +236,18 @@ def test_stored_model_answers_alike(spark, engines, model):
     both = [forecast.service_response(m, engines, ["s_1", "s_2"], unit="unit", cycle="cycle",
                                       version="7") for m in (model, loaded)]
     assert rows_of(both[0]) == rows_of(both[1])
+
+
+def test_scoring_passes_have_as_many_tasks_as_cores(spark, engines, model, monkeypatch):
+    seen, real = [], scoring.rolling_features
+    monkeypatch.setattr(scoring, "rolling_features", lambda rows, *a, **k: (
+        seen.append(rows.rdd.getNumPartitions()), real(rows, *a, **k))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        job_for(spark, model).score_batch(engines, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert seen and max(seen) <= 2 * spark.sparkContext.defaultParallelism
