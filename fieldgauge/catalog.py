@@ -1011,7 +1011,8 @@ def reviews_scan(spark, d):
         F.when(F.col("doc_id") % 7 != 0, F.date_format(created, "yyyy-MM-dd HH:mm:ss"))
         .alias("review_answer_timestamp")
     ).write.options(header="true", escape='"').csv(path)
-    rows, rejects = checked.load_csv_checked(spark, path, readers.MARKETPLACE_SCHEMAS["reviews"])
+    rows, rejects = checked.load_csv_checked(spark, path, readers.MARKETPLACE_SCHEMAS["reviews"],
+                                             staged=True)
     found = rows.groupBy("review_score").agg(
         F.count(F.lit(1)).alias("reviews"), F.count("review_comment_title").alias("titled"),
         F.sum(F.length("review_comment_title")).alias("title_chars"),

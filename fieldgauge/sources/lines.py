@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from fieldgauge.session import scratch_path, shared_dir
+
 #: Split tables up to this many rows are broadcast, about 10 MB; larger ones are joined.
 BROADCAST_SPLITS = 100_000
 QUOTE = '"'
@@ -134,12 +136,14 @@ def csv_records(spark: SparkSession, path: str, columns: Sequence[str]) -> DataF
     Every split is cut by its own task. A quote character opens or closes a field wherever it
     stands, so whether a split begins inside a field is the parity of the quotes before it. The
     pieces of a record that crosses splits, two or fewer per split, are put together afterwards.
+    The records are written once to the shared folder, so the returned table reads them from there.
     The splits that begin inside a field are sent to the tasks, 16 bytes each. The header of each
     file must name ``columns``; blank records are left out.
     """
     lines = text_lines(spark, path)
     key = F.xxhash64("file")
-    splits = split_table(lines).withColumn("file_key", key)
+    shared_dir(spark)
+    splits = split_table(lines).withColumn("file_key", key).checkpoint()  # a row per split
     if splits.groupBy("file_key").agg(F.count_distinct("file").alias("n")).where("n > 1").count():
         raise ValueError("two file names share a hash; read them apart")
     inside = {(r.file_key, r.block) for r in
@@ -167,6 +171,10 @@ def csv_records(spark: SparkSession, path: str, columns: Sequence[str]) -> DataF
 
     found = lines.select("value", key.alias("file_key"), "block").mapInArrow(
         cut, "file_key long, block long, row long, kind long, record string")
+    # Cut once; whole records and pieces are read from it.
+    path = scratch_path(spark, "records")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
     whole = found.where(F.col("kind") == _WHOLE).select("file_key", "block", "row", "record")
     order = Window.partitionBy("file_key").orderBy("block", "row")
     crossing = (

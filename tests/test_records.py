@@ -138,3 +138,16 @@ def test_python_reads_the_same(small_splits, tmp_path):
     assert sorted(next(csv.reader([r.record])) if "\n" not in r.record else
                   next(csv.reader(r.record.splitlines(keepends=True))) for r in found) \
         == sorted(wanted)
+
+
+def test_texts_are_cut_into_records_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a\nb"), (2, 'say "x"')], "n long, t string").write.options(
+        header="true", escape='"').csv(str(tmp_path / "once"))
+    rows, rejects = checked.load_csv_checked(spark, str(tmp_path / "once"), "n long, t string",
+                                             staged=True)
+    for table in (rows, rejects):
+        assert "MapInArrow" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == [(1, "a\nb"), (2, 'say "x"')]
+    assert rejects.count() == 0
+    records = lines.csv_records(spark, str(tmp_path / "once"), ["n", "t"])
+    assert "MapInArrow" not in records._jdf.queryExecution().optimizedPlan().toString()
