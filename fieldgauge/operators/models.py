@@ -199,8 +199,8 @@ def compare_classifiers(df: DataFrame, key: str, label: str, features: Sequence[
     """
     # Fixed once: every fit and score below reads it, and a lost executor costs no recomputing.
     shared_dir(df.sparkSession)
-    split = stratified_split(df.select(key, label, *keep, *features), key, label,
-                             seed=seed, exact=True).checkpoint()
+    rows = df.select(key, label, *keep, *features).checkpoint()
+    split = stratified_split(rows, key, label, seed=seed, exact=True).checkpoint()
     train, test = dealt(split.filter(~F.col("is_test"))), split.filter("is_test")
     scaling = scaling_of(train, features)
     scaled = [f"{c}_std" for c in features]

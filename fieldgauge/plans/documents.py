@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fieldgauge.functions import columns as fx
 from fieldgauge.operators import decision, experiment as x, models, quality
 from fieldgauge.plans import churn, experiment as xp, marketplace as m
+from fieldgauge.session import shared_dir
 from fieldgauge.sources.writers import records, report_document
 
 # The subscriber table's columns and the digits of the churn figures.
@@ -123,6 +124,8 @@ def churn_document(subjects: DataFrame, *, key: str = "customerID", contract: st
                    model_options: dict | None = None) -> DataFrame:
     """Profile, segments, models, retention economics and churn by dimension."""
     spark = subjects.sparkSession
+    shared_dir(spark)
+    subjects = subjects.checkpoint()  # every section reads it, the models several times
     profile = quality.profile_subjects(subjects, blank_text, outcome)
     segments = churn.segments(subjects, tenure, services, charge, churned,
                               **(segment_options or {}))

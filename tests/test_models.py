@@ -162,3 +162,15 @@ def test_last_cycles_cut_rows_before_the_shuffle(spark, engines):
     whole = ordered.last_row(ft.rolling_features(engines, ["s_1"], unit="unit", cycle="cycle"),
                              ["unit"], ["cycle"])
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_classifiers_read_their_subjects_once(spark, subjects):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(charge):
+        met.add(1)
+        return charge
+    models.compare_classifiers(subjects.withColumn("charge", counted("charge")), "id", "churned",
+                               ["tenure", "charge"], trees=2, depth=2, max_iter=5)
+    assert met.value == 800
