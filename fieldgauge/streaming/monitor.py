@@ -24,6 +24,9 @@ BUFFER_ROWS = 20
 WEAR_PER_STEP = 1.5  # tool wear added by one step, in minutes
 BATCH = "batch_id"
 AVAILABLE_NOW = {"availableNow": True}
+CHUNK_ROWS = 1 << 17  # readings that a task sorts at a time
+PACK_ROWS = 256  # readings in one packed row of a buffer's output
+_DEVICE, _GROUP, _PACKED, _SENT = "device__", "group__", "packed__", "sent__"
 
 
 def table_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str,
@@ -95,66 +98,129 @@ def distinct_readings(readings: DataFrame, keys: Sequence[str], *, ts: str = "ts
 
 # --- keyed state ---------------------------------------------------------
 
+def _newest(rows: pa.Table, key: str, order: Sequence[str], n: int) -> pa.Table:
+    """The last ``n`` rows of each device, nulls being one device, in the order of ``order``."""
+    rows = rows.combine_chunks()
+    devices = rows[key].combine_chunks().dictionary_encode(null_encoding="encode").indices
+    rows = rows.append_column(_DEVICE, devices).sort_by(
+        [(c, "ascending") for c in (_DEVICE, *order)])
+    numbers = rows[_DEVICE].to_numpy()
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
+    # The place of a row before the end of its device's run.
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(numbers))
+    return rows.filter(pa.array(left <= n)).drop_columns(_DEVICE)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], key: str, order: Sequence[str], n: int
+         ) -> Iterator[pa.Table]:
+    """A task's rows, cut to ``n`` per device ``CHUNK_ROWS`` rows at a time."""
+    waiting, count = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        count += batch.num_rows
+        if count >= CHUNK_ROWS:
+            held = _newest(pa.Table.from_batches(waiting), key, order, n)
+            waiting, count = held.to_batches(), held.num_rows
+            # Rows are held on to as long as every cut halves them: no row is sorted often.
+            if count > CHUNK_ROWS // 2:
+                yield held
+                waiting, count = [], 0
+    if count:
+        yield _newest(pa.Table.from_batches(waiting), key, order, n)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(packed)).read_all()
+
+
 class _LastRows(StatefulProcessor):
-    """The last rows of a device, as a list in the state store."""
+    """The last rows of a group's devices, as one packed table in the state store."""
 
-    def __init__(self, schema: T.StructType, order: Sequence[str], n: int, idle_ms: int | None):
-        self.schema, self.order, self.n, self.idle_ms = schema, list(order), n, idle_ms
+    def __init__(self, key: str, order: Sequence[str], n: int, idle_ms: int | None):
+        self.key, self.order, self.n, self.idle_ms = key, list(order), n, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", self.schema, ttlDurationMs=self.idle_ms)
+        self.rows = handle.getValueState("rows", f"{_PACKED} binary",
+                                         ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = self.schema.fieldNames()
-        held = pd.DataFrame(list(self.rows.get()), columns=columns)
-        frames = [f[columns] for f in rows]
-        held = pd.concat([held.astype(frames[0].dtypes.to_dict()), *frames]
-                         if len(held) else frames, ignore_index=True)
-        held = held.sort_values(self.order, kind="stable").tail(self.n)
-        values = held.astype(object).where(held.notna(), None)
-        self.rows.put([tuple(_plain(v) for v in r) for r in values.itertuples(index=False)])
-        yield held
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+        fresh, waiting, count = None, [], 0
+        for frame in rows:
+            for packed in frame[_PACKED]:
+                waiting.append(_unpacked(packed))
+                count += waiting[-1].num_rows
+                # Cut once the new rows are as many as those that a cut left.
+                if count >= max(CHUNK_ROWS, 2 * (fresh.num_rows if fresh else 0)):
+                    fresh = _newest(pa.concat_tables(waiting), self.key, self.order, self.n)
+                    waiting, count = [fresh], fresh.num_rows
+        fresh = pa.concat_tables(waiting)
+        fresh = fresh.append_column(_SENT, pa.array(np.full(len(fresh), now, "int64")))
+        held = self.rows.get()
+        both = fresh if held is None else pa.concat_tables(
+            [_unpacked(held[0]), fresh], promote_options="default")
+        if held is not None and self.idle_ms:
+            both = both.filter(pc.greater(both[_SENT], now - self.idle_ms))
+        both = _newest(both, self.key, self.order, self.n)
+        # All rows of a device bear the time at which it sent last.
+        sent = pc.is_in(both[self.key], value_set=fresh[self.key].combine_chunks().unique())
+        both = both.set_column(both.schema.get_field_index(_SENT), _SENT,
+                               pc.if_else(sent, now, both[_SENT]))
+        self.rows.update((_packed(both),))
+        changed = both.filter(sent).drop_columns(_SENT)
+        for start in range(0, len(changed), PACK_ROWS):
+            yield pd.DataFrame({_PACKED: [_packed(changed.slice(start, PACK_ROWS))]})
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    """A value of a frame as the Python value that the state store takes."""
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if hasattr(value, "item") else value
-
-
 def buffer_stream(readings: DataFrame, key: str, order: Sequence[str], *, n: int = BUFFER_ROWS,
-                  idle_ms: int | None = None) -> DataFrame:
+                  idle_ms: int | None = None, groups: int = 1024) -> DataFrame:
     """The last ``n`` readings of each device, for update mode: all of them whenever one is new.
 
-    Every task first cuts its part of the batch to ``n`` rows per device, so a device that sends
-    most rows brings few of them to its state. The state is a list of ``n`` rows per device in
-    RocksDB; with ``idle_ms``, devices that send nothing for that long are forgotten.
+    Every task first cuts its part of the batch, ``CHUNK_ROWS`` rows at a time, to ``n`` rows per
+    device, so a device that sends most rows brings few of them to its state. Devices are hashed
+    into ``groups``; the state in RocksDB is one packed table per group, of ``n`` rows per device,
+    and a batch reads and writes the tables of the groups that it touches. Choose ``groups`` so
+    that one fits, say some thousand devices each, and keep it for the life of a checkpoint. With
+    ``idle_ms``, devices that send nothing for that long are forgotten.
     """
     columns, schema = readings.columns, readings.schema
 
+    def pack(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.sort_by(_GROUP)
+        numbers = rows[_GROUP].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1])
+        ends = np.append(starts[1:], len(numbers))
+        rows = rows.select(columns)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(numbers[starts], pa.int32()),
+             pa.array([_packed(rows.slice(a, z - a)) for a, z in zip(starts, ends)], pa.binary())],
+            names=[_GROUP, _PACKED])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        for rows in _cut(batches, key, order, n):
+            yield from pack(rows)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            rows = rows.sort_by([(c, "ascending") for c in (key, *order)])
-            # The place of a row before the end of its device's run.
-            keys = rows[key].combine_chunks()
-            ends = np.flatnonzero(pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True)
-                                  .to_numpy(zero_copy_only=False)) + 1
-            bounds = np.concatenate([[0], ends, [len(rows)]])
-            runs = np.diff(bounds)
-            left = np.repeat(bounds[1:], runs) - np.arange(len(rows))
-            held = rows.filter(pa.array(left <= n)).combine_chunks()
-        if held is not None:
-            yield from held.to_batches()
-
-    return readings.mapInArrow(cut, schema).select(*columns).groupBy(key) \
-        .transformWithStateInPandas(_LastRows(schema, order, n, idle_ms), schema, "Update",
-                                    "ProcessingTime" if idle_ms else "None")
+            for packed in batch.column(0):
+                yield from _unpacked(packed.as_py()).to_batches()
+
+    group = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+    return readings.withColumn(_GROUP, group) \
+        .mapInArrow(cut, f"{_GROUP} int, {_PACKED} binary").groupBy(_GROUP) \
+        .transformWithStateInPandas(_LastRows(key, order, n, idle_ms), f"{_PACKED} binary",
+                                    "Update", "ProcessingTime" if idle_ms else "None") \
+        .mapInArrow(unpack, schema)
 
 
 # --- sinks ---------------------------------------------------------------

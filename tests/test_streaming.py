@@ -1,7 +1,10 @@
 """Streams fed file by file end up where one batch over all rows does."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +76,82 @@ def test_buffer_over_several_batches(spark, readings, folder):
     assert rows_of(got.select(*readings.columns)) == rows_of(want)
 
 
+def test_buffer_state_is_kept_by_groups_of_devices(spark):
+    """The state's entries, each a call to a Python worker, don't grow with the devices."""
+    rows = spark.range(9000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+        (F.col("id") % 3000).alias("device"), F.lit(90.0).alias("health"),
+        F.lit(40).alias("torque"), F.lit(299.0).alias("temperature"))
+    folder = scratch_path(spark, "devices")
+    for part in (rows.filter("event_id < 5000"), rows.filter("event_id >= 5000")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    order, checkpoint, path = ["ts", "event_id"], scratch_path(spark, "cp"), scratch_path(spark, "b")
+    monitor.run_update(monitor.buffer_stream(stream(spark, folder), "device", order, n=2), path,
+                       checkpoint, ["device"])
+    assert rows_of(monitor.read_latest(spark, path).select(*rows.columns)) == rows_of(
+        last_n_rows(rows, ["device"], order, 2))
+    state = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint)
+    assert 0 < state.count() <= 1024
+
+
+def test_buffer_keeps_long_numbers_nulls_and_nameless_devices(spark):
+    rows = [(2**60 + i if i % 4 else None, 60 * i, [1, None, 2][i % 3], float("nan") if i == 3
+             else None if i % 5 == 0 else i / 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "event_id long, t long, device long, health double") \
+        .select("event_id", F.timestamp_seconds("t").alias("ts"), "device", "health")
+    folder = scratch_path(spark, "odd")
+    for low in (0, 17):
+        frame.filter((F.unix_timestamp("ts") >= 60 * low)
+                     & ((F.unix_timestamp("ts") < 60 * 17) | (F.lit(low) > 0))) \
+            .coalesce(1).write.mode("append").parquet(folder)
+    source = monitor.table_stream(spark, folder, "*.parquet", frame.schema, files_per_trigger=1)
+    for n in (5, 50):
+        got = updated(spark, monitor.buffer_stream(source, "device", ["ts"], n=n), ["device"])
+        assert repr(rows_of(got)) == repr(rows_of(last_n_rows(frame, ["device"], ["ts"], n)))
+
+
+def test_idle_devices_are_forgotten():
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    held = Held()
+    job = monitor._LastRows("device", ["ts"], 2, idle_ms=100)
+    job.init(SimpleNamespace(getValueState=lambda *a, **k: held))
+
+    def send(now, *rows):
+        packed = [monitor._packed(pa.Table.from_pylist([dict(zip(("device", "ts"), r))]))
+                  for r in rows]
+        frames = job.handleInputRows((0,), iter([pd.DataFrame({monitor._PACKED: packed})]),
+                                     SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now))
+        return sorted((r["device"], r["ts"]) for f in frames for p in f[monitor._PACKED]
+                      for r in monitor._unpacked(p).to_pylist())
+
+    assert send(1000, (1, 1), (1, 2), (2, 3)) == [(1, 1), (1, 2), (2, 3)]
+    assert send(1060, (1, 4)) == [(1, 2), (1, 4)]  # the other device has nothing new
+    assert send(1120, (1, 5), (2, 6)) == [(1, 4), (1, 5), (2, 6)]  # 2 was idle for 120 ms
+    assert send(1219, (2, 7)) == [(2, 6), (2, 7)]
+
+
+@pytest.mark.parametrize("devices", [3, 10**6])
+def test_rows_are_sorted_in_proportion(monkeypatch, devices):
+    """A task's cut sorts each row a few times, however many devices there are."""
+    seen, real = [], monitor._newest
+    monkeypatch.setattr(monitor, "_newest", lambda rows, *a: (
+        seen.append(rows.num_rows), real(rows, *a))[1])
+    batches = [pa.RecordBatch.from_pydict({"device": [i % devices for i in range(a, a + 2000)],
+                                           "ts": list(range(a, a + 2000))})
+               for a in range(0, 400_000, 2000)]
+    cut = list(monitor._cut(iter(batches), "device", ["ts"], 20))
+    assert sum(seen) <= 3 * 400_000 and max(seen) <= monitor.CHUNK_ROWS + 2000
+    assert sum(t.num_rows for t in cut) == min(400_000, 20 * devices)
+
+
 @pytest.mark.parametrize("window", [{"length": "2 hours"},
                                     {"length": "2 hours", "slide": "30 minutes"}])
 def test_closed_windows_equal_the_batch(spark, readings, folder, window):
