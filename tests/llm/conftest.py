@@ -1,6 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import types as T
 
+#: As in the conftest above, whose name this one takes when all tests are collected.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Columns that operators might want for themselves.
 CLASHES = ["id", "of", "score", "label", "size", "copies", "kept", "same", "bucket", "row"]
 
